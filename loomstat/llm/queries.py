@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
-from . import chat_format, exact_dedup, mixing, token_output, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, mixing, token_output, toxicity, url_filter
 
 CATALOGUE = Catalogue()
 
@@ -46,3 +46,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOGUE.query("op9_token_output")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
+
+
+@CATALOGUE.query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
