@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
-from . import chat_format, decontamination, exact_dedup, jaccard_join, mixing, token_output, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, jaccard_join, lattice_lm, mixing, token_output, toxicity, url_filter
 
 CATALOGUE = Catalogue()
 
@@ -43,6 +43,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe)))
 
 
+@CATALOGUE.query("op7_lattice_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"))
+
+
 @CATALOGUE.query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
