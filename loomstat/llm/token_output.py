@@ -11,7 +11,7 @@ Shards are ranges of (doc_id, text), so the shards in order are the documents in
 and renames the file when it is whole, so a task that runs twice leaves one whole file of the same bytes.
 
 Encoding is that of the tokenizers library, which cuts this vocabulary's texts before a space that has no white space after it,
-whatever stands around; the stretches between such cuts are encoded once for each task and reused.
+whatever stands around; pieces between such cuts are encoded once and their ids reused, from memos of bounded size.
 
 Defined results: null texts are empty and hold the end id alone; null ids come first; rows with equal ids follow by text.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,7 +38,7 @@ from .common import fresh_path, partitions, stored
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
 FRAME, DOC, FOOTER = "<QQQI", np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), "<IIQQI4sI"
 FRAME_SIZE, FOOTER_SIZE = struct.calcsize(FRAME), struct.calcsize(FOOTER)
-MEMO = 1_000_000
+MEMO = 250_000
 
 
 def default_vocabulary() -> str:
@@ -47,31 +48,52 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of whole texts. Stretches seen before come from a bounded memo of what the library gave for them."""
+    """Ids of whole texts as little-endian uint32 bytes. Pieces seen before come from bounded memos of what the library gave for them."""
 
     def __init__(self, vocabulary: str) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, list[int]] = {}
-
-    def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        cut = [_stretches(t) for t in texts]
-        new = [s for s in set().union(*cut) if s not in memo]
-        if new:
-            memo.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = memo.__getitem__
-        out = []
-        for stretches in cut:
-            ids: list[int] = []
-            for part in map(get, stretches):
-                ids += part
-            out.append(np.array(ids, np.uint32))
-        return out
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        # the byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, other bytes follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def __call__(self, texts: Sequence[str]) -> list[bytes]:
+        if len(self.words) > MEMO:
+            self.words.clear()
+        if len(self.others) > MEMO // 4:
+            self.others.clear()
+        words, others = self.words, self.others
+        pieces = [_stretches(t) for t in texts]
+        new = {s for s in set().union(*pieces) if s not in words and s not in others}
+        mixed = {s: self.cut(s) for s in new if not s[1:].isalpha()}
+        missing = {s for s in new if s not in mixed}.union(*mixed.values()).difference(words)
+        if missing:
+            # cut words go straight to the library's model, without its pipeline around them
+            tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
+            for s in missing:
+                words[s] = array("I", [t.id for t in tokenize(s.encode("utf-8").decode("latin-1").translate(alphabet))]).tobytes()
+        for s, parts in mixed.items():
+            others[s] = b"".join([words[x] for x in parts])
+        get, other = words.get, others.__getitem__
+        return [b"".join([get(s) or other(s) for s in found]) for found in pieces]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder for each worker process, so that its memos outlive a task."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _stretches(text: str) -> list[str]:
@@ -79,11 +101,9 @@ def _stretches(text: str) -> list[str]:
     if not text:
         return []
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
     out = [parts[0]]
     for p in parts[1:]:
-        if p and not p[0].isspace() and not "\x1c" <= p[0] <= "\x1f":
+        if p and not p[0].isspace():
             out.append(" " + p)
         else:
             out[-1] += " " + p
@@ -155,19 +175,20 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str | N
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, packer = Encoder(vocabulary), zstandard.ZstdCompressor(level=level)
+        encode, packer = encoder(vocabulary), zstandard.ZstdCompressor(level=level)
         fs, root = _connect(folder)
         fs.create_dir(root, recursive=True)
         final, own = f"{root}/shard-{shard:06d}.ids", f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}"
+        end = struct.pack("<I", end_id)
         frames, n_docs, n_tokens, out = [], 0, 0, None
         for b in batches:
             for at in range(0, len(b), docs_per_frame):
                 part = b.iloc[at : at + docs_per_frame]
-                ids = [np.append(x, np.uint32(end_id)) for x in encode(part["text"].tolist())]
+                ids = [x + end for x in encode(part["text"].tolist())]
                 records = np.zeros(len(part), DOC)
                 null = part["doc_id"].isna().to_numpy()
-                records["id"], records["null"], records["n"] = part["doc_id"].fillna(0).to_numpy(np.int64), null, [len(x) for x in ids]
-                raw = np.concatenate(ids).astype("<u4").tobytes()
+                records["id"], records["null"], records["n"] = part["doc_id"].fillna(0).to_numpy(np.int64), null, [len(x) // 4 for x in ids]
+                raw = b"".join(ids)
                 z = packer.compress(raw)
                 out = out or fs.open_output_stream(own)
                 out.write(z)
