@@ -72,8 +72,8 @@ def balanced_rates(targets: DataFrame, steps: int = STEPS, most: int = MOST) ->
     return start.select("source", "source_size", "target", F.when((size > 0) & (target > 0), F.least(F.lit(float(most)), F.exp(solved))).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def mixed(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, most: int = MOST, salts: int = SALTS) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken for each row; keep: more columns of docs."""
+def mixed(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, most: int = MOST, salts: int = SALTS, named_source: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken for each row; keep: more columns of docs; named_source: source too."""
     sized = stored(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), *keep), "sizes")
     # four leading bits of the size: classes an eighth of an octave wide
     bits = F.length(F.bin("size")).cast("int")
@@ -92,7 +92,7 @@ def mixed(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WE
     i = (F.col("before") + F.col("rank")).cast("double")
     copies = F.floor(F.col("rate") * i + PHASE) - F.floor(F.col("rate") * (i - 1.0) + PHASE)
     copies = F.greatest(F.lit(0), F.least(F.lit(most), copies)).cast("long")
-    return placed.select("doc_id", *keep, "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return placed.select("doc_id", *keep, *(["source"] if named_source else []), "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 ORACLE_TARGETS = r"""
