@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
-from . import chat_format, decontamination, exact_dedup, jaccard_join, lattice_lm, mixing, token_output, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, jaccard_join, lattice_lm, mixing, substring_dedup, token_output, toxicity, url_filter
 
 CATALOGUE = Catalogue()
 
@@ -25,6 +25,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@CATALOGUE.query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @CATALOGUE.query("op4_url_filter", url_filter.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
