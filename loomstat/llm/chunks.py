@@ -17,6 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+
+def frame(rows: list[tuple], columns: list[str], whole: tuple[str, ...] = ("doc_id",)) -> pd.DataFrame:
+    """A frame whose `whole` columns are nullable integers; pandas by itself would turn integers beside nulls into doubles."""
+    out = pd.DataFrame(rows, columns=columns, dtype=object)
+    return out.assign(**{c: pd.array(out[c].tolist(), dtype="Int64") for c in whole})
+
+
 LOW = np.uint64((1 << 40) - 1)
 
 

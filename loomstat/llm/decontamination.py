@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Texts become sequences of tokens: numbers, names (capitalised words after a lower-case word, a digit or a comma) and units after a
+Texts become sequences of tokens: numbers, names (words with a capital and then a small letter, after a lower-case word, a digit or a comma) and units after a
 number are replaced by typed placeholders, all else is lower-cased, punctuation parts words. Windows of `window` tokens
 of documents and benchmark items are hash-joined and compared token by token. Windows on one diagonal (same distance of
 positions in document and item) make one occurrence. In an occurrence the slots must be consistent: the item's values and the
@@ -33,7 +33,7 @@ _WORDS, _GLUED = "|".join(UNITS), "|".join(u for u in UNITS if u.isalpha())
 def marked_tokens(text: Column) -> Column:
     """Array of tokens; those that a placeholder stands for begin with it and go on with the raw token."""
     # the upper-case letter is looked for first: few places have one
-    named = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{N},] \p{Lu})\p{L}*)", NAME + "$1")
+    named = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{N},] \p{Lu})\p{Ll}\p{L}*)", NAME + "$1")
     named = F.lower(F.when(F.col("proper"), named).otherwise(text))
     simple = F.split(named, rf"[^\p{{L}}{NAME}]+")
     # separators stay inside numbers

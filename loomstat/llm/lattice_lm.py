@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import in_chunks
+from .chunks import frame, in_chunks
 from .common import chunk_count, partitions, stored
 
 FOLDS, HELD_OUT, ROUNDS, PRIOR, DISCOUNT, COMPONENTS, SHORT, BATCH = 5, 1, 2, 2000.0, 0.6, 6, 40, 4096
@@ -329,6 +329,6 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, rounds: int =
             top = sides.max()
             score = (top + math.log(np.exp(sides - top).sum())) / math.log(10)
             out.append((doc_id, _held(doc_id), len(at) + 1, int((counts[at] > 0).sum()) + (ends > 0), total, float(base[at].sum()) + math.log10(ends + 0.5) - floor, score))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
+        return frame(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], ("doc_id", "n_tokens", "n_known", "train_tokens"))
 
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .chunks import CENSUS, answers, by_bucket, census_rows, in_chunks, looked_up, repeated_keys, squeeze
+from .chunks import CENSUS, answers, by_bucket, census_rows, frame, in_chunks, looked_up, repeated_keys, squeeze
 from .common import chunk_count, partitions
 
 LENGTH, GRAM, LARGEST, NULL_ID = 50, 28, 2_000_000, 2**63 - 1
@@ -206,7 +206,7 @@ class RunIndex:
 
 
 def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["doc_id"].fillna(NULL_ID).to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64)
+    return np.array([NULL_ID if pd.isna(x) else int(x) for x in pdf["doc_id"]], np.int64)
 
 
 def _texts(pdf: pd.DataFrame) -> list[bytes]:
@@ -353,6 +353,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             spans = [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
             kept = s.data[begin : begin + len(text)][~r].tobytes() if spans else text
             out.append((doc_id, len(text), int(r.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
-        return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+        return frame(out, columns, ("doc_id", "n_bytes", "n_removed", "n_spans"))
 
     return dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")

@@ -32,13 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import frame
 from .common import fresh_path, partitions, stored
 
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
 FRAME, DOC, FOOTER = "<QQQI", np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), "<IIQQI4sI"
 FRAME_SIZE, FOOTER_SIZE = struct.calcsize(FRAME), struct.calcsize(FOOTER)
-MEMO = 250_000
+MEMO = 700_000
 
 
 def default_vocabulary() -> str:
@@ -219,7 +220,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 for name, ids in Shard(path).documents():
                     rows.append((name, at, len(ids), zlib.crc32(ids.tobytes())))
                     at += len(ids)
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield frame(rows, ["doc_id", "start", "n_tokens", "ids_crc32"], ("doc_id", "start", "n_tokens", "ids_crc32"))
 
     return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
