@@ -3,15 +3,15 @@
 Sets are ordered by document frequency, rare first, then by hash. Two sets with similarity t or more share at least l tokens of
 their l-prefixes, the first n - ceil(t n) + l tokens, for any l. Each set takes the l whose longer prefix costs least: posting-list
 lengths of the prefix plus verifications expected to remain; a pair is verified when it shares as many prefix tokens as the
-smaller l of the two asks for.
+smaller l of the two asks for, given both sizes.
 
 Steps: (1) A census of all shingles over chunks of documents gives frequencies; the census also counts each set's signature, so that copies
 of one set don't count as other sets. A set with fewer than ceil(t n) shingles that some other set has can't link and goes no further.
-(2) Of copies one stands for all. (3) Postings of the prefixes' shared tokens. Two cheap rounds verify each set against one
-hub of each of its posting lists, and connected components of the links found are built; this settles groups of near
+(2) Of copies one stands for all. (3) Postings of the prefixes' shared tokens. A cheap round verifies each set against the hub it shares
+most prefix tokens with, and connected components of the links found are built; this settles groups of near
 copies in time linear in their size. (4) The join proper pairs, in each posting list that still holds sets of different components, the sets outside
-its largest component with the rest of the list; shared prefix tokens are counted, pairs with enough are verified. Pairs within one
-component are never formed: they can't change a component.
+its largest component with the sets of larger ones; shared prefix tokens are counted, pairs with enough are verified: first each set's best partner
+in each other component, then all pairs that are left between components. Pairs within one component are never formed: they can't change a component.
 Verification compares whole sets of 64-bit shingle hashes, exactly 100 * intersection >= 75 * union.
 
 Defined results: null and empty texts have the empty set and link with nothing; with fewer than `width` words the whole sequence is the
@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CENSUS, answers, census_rows, in_chunks, looked_up, repeated_keys, squeeze
+from .chunks import CENSUS, answers, census_rows, frame, in_chunks, looked_up, repeated_keys, squeeze
 from .common import chunk_count, partitions, stored
 from .components import components
 
-WIDTH, PERCENT, LONGEST = 5, 75, 8
+WIDTH, PERCENT, LONGEST = 5, 75, 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,7 +113,7 @@ def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if (df > copies).sum() >= needed(n, percent):
                     row = (*row[:3], s.tobytes(), df.astype("<u4").tobytes())
             out.append(row)
-        return pd.DataFrame(out, columns=["doc_id", "n_shingles", "sig", "tokens", "df"]).astype({"doc_id": "Int64", "sig": "Int64"})
+        return frame(out, ["doc_id", "n_shingles", "sig", "tokens", "df"], ("doc_id", "n_shingles", "sig"))
 
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(judge, "doc_id long, n_shingles long, sig long, tokens binary, df binary")
 
@@ -123,7 +123,7 @@ def chosen_length(df: np.ndarray, n: int, percent: int = PERCENT, longest: int =
     expected to share l tokens or more are verified, at a cost of a set's length each."""
     base = n - needed(n, percent)
     best, cost = 1, None
-    for l in range(1, longest + 1):
+    for l in (2**k for k in range(longest.bit_length())):
         if base + l > n:
             break
         scanned = float(df[: base + l].sum())
@@ -176,43 +176,76 @@ def _sized(percent: int, n: str, m: str):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def least_shared(n: np.ndarray, m: int, l: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Tokens that similar sets of n and m must share within their l-prefixes. Of the two prefixes one ends first in the global order; all
+    shared tokens up to there lie in both, and no more follow than that set has left."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(l, overlap - np.maximum(needed(n, percent), needed(m, percent)) + l)
+
+
+LIST = 2048  # sets in a block of a posting list
+
+
+def _hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """For each set the hub that it shares most prefix tokens with. The hub of a posting list is its set of least hash."""
+    hubs = posts.groupBy("token").agg(F.min_by(F.struct("sig", "n"), F.xxhash64("sig")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"))
+    met = posts.join(hubs, "token").where((F.col("sig") != F.col("hub")) & _sized(percent, "n", "m")).groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = met.groupBy("sig").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return best.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
+
+
+def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best: bool) -> DataFrame:
+    """Pairs of sets of different components that share as many prefix tokens as they must; only_best: for each set outside the largest
+    component of a posting list and each component it meets, the partner with most.
+
+    A posting list that holds one component is left out. From the others, each set outside the largest component meets the list in
+    blocks, one row for each block, so rows grow with the sets outside, not with pairs; a set's blocks are then counted together."""
+    # components are ordered by size; of a pair, the set of the lower component is outside the largest one in every list that holds both
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("of"))
+    graded = roots.join(sizes, "root")
+    placed = stored(posts.join(graded, "sig", "left").withColumn("root", F.coalesce("root", "sig")).withColumn("of", F.coalesce("of", F.lit(1))), "placed")
+    parts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.max("of").alias("of"))
+    major = parts.groupBy("token").agg(F.max_by("root", F.struct("of", "root")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
+    lists = placed.join(major, "token")
+    # lists are cut by a hash into blocks of about LIST sets
+    cut = parts.groupBy("token").agg(F.ceil(F.sum("c") / LIST).cast("int").alias("blocks"))
+    member = F.struct("sig", F.col("n").cast("int").alias("n"), F.col("over").cast("int").alias("over"), F.col("l").cast("smallint").alias("l"), "root", "of")
+    blocks = lists.join(cut, "token").groupBy("token", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block")).agg(F.collect_list(member).alias("members"))
+    minor = lists.where(F.col("root") != F.col("major")).select("token", F.col("sig").alias("z"), F.col("n").alias("zn"), F.col("over").alias("zover"), F.col("l").alias("zl"), F.col("root").alias("zroot"), F.col("of").alias("zof"))
+    # blocks are opened only as arrays: per block the members a set may link with, as binary columns
+    packed = blocks.select("token", *[F.col(f"members.{c}").alias(c) for c in ("sig", "n", "over", "l", "root", "of")])
+    met = minor.join(packed, "token")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, zn, zl, zroot, zof = (int(pdf[c].iloc[0]) for c in ("z", "zn", "zl", "zroot", "zof"))
+        sig, n, over, l, root, of = (np.concatenate(pdf[c].tolist()).astype(np.int64) for c in ("sig", "n", "over", "l", "root", "of"))
+        zover = np.repeat(pdf["zover"].to_numpy(np.int64), [len(x) for x in pdf["sig"]])
+        least = np.minimum(l, zl)
+        higher = (of > zof) | ((of == zof) & (root > zroot))
+        ok = higher & (100 * np.minimum(n, zn) >= percent * np.maximum(n, zn)) & (over < least) & (zover < least)
+        sig, least, root, n = sig[ok], least[ok], root[ok], n[ok]
+        found, first, times = np.unique(sig, return_index=True, return_counts=True)
+        enough = times >= least_shared(n[first], zn, least[first], percent)
+        found, times, root = found[enough], times[enough], root[first][enough]
+        if only_best and len(found):
+            order = np.lexsort((found, -times))
+            found = found[order][np.unique(root[order], return_index=True)[1]]
+        return pd.DataFrame({"a": np.minimum(found, z), "b": np.maximum(found, z)})
+
+    return met.groupBy("z").applyInPandas(count, "a long, b long").distinct()
+
+
 def similarity_classes(sets: DataFrame, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """sig, root: the component of each set that links with another. sets: sig (distinct), n, tokens, df."""
     posts = stored(_postings(sets, percent, longest), "postings")
-    links = None
-    comp = posts.select("sig", F.col("sig").alias("root")).distinct()
-    for hub_round in range(2):
-        placed = posts if hub_round == 0 else posts.join(comp, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        if hub_round == 0:
-            hubs = posts.groupBy("token").agg(F.min_by(F.struct("sig", "n"), F.xxhash64("sig")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "hub.*").toDF("token", "hub", "m")
-            pairs = posts.join(hubs, "token").where(F.col("sig") != F.col("hub"))
-        else:
-            hubs = _majors(placed).select("token", "major", "hub", "m")
-            pairs = placed.join(hubs, "token").where(F.col("root") != F.col("major"))
-        pairs = pairs.where(_sized(percent, "n", "m")).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
-        found = stored(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = stored(components(links).toDF("sig", "root"), "roots")
-    placed = stored(posts.join(comp, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "placed")
-    lists = placed.join(_majors(placed).select("token", "major"), "token")
-    minor = lists.where(F.col("root") != F.col("major")).select("token", *[F.col(c).alias(f"{c}_") for c in ("sig", "n", "over", "l", "root")])
-    rest = lists.select("token", "sig", "n", "over", "l", "root", (F.col("root") == F.col("major")).alias("in_major"))
-    # a pair of two minor sets is met from both sides: one side is enough
-    once = F.col("in_major") | (F.col("sig") < F.col("sig_"))
-    least = F.least("l", "l_")
-    met = minor.join(rest, (minor["token"] == rest["token"]) & (F.col("root") != F.col("root_")) & once & _sized(percent, "n", "n_") & (F.col("over") < least) & (F.col("over_") < least))
-    pairs = met.groupBy(F.least("sig", "sig_").alias("a"), F.greatest("sig", "sig_").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("l")).where("shared >= l").select("a", "b")
-    links = links.unionByName(stored(_verified(pairs, sets, percent), "links"))
+    links = stored(_verified(_hub_pairs(posts, percent), sets, percent), "links")
+    for only_best in (True, False):
+        roots = stored(components(links).toDF("sig", "root"), "roots")
+        pairs = stored(_crossing_pairs(posts, roots, percent, only_best), "pairs")
+        links = links.unionByName(stored(_verified(pairs, sets, percent), "links"))
     return components(links).toDF("sig", "root")
 
 
-def _majors(placed: DataFrame) -> DataFrame:
-    """token, major (its largest component), hub, m: for posting lists that hold more than one component."""
-    parts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.max_by(F.struct("sig", "n"), F.xxhash64("sig", F.lit(7))).alias("hub"))
-    best = parts.groupBy("token").agg(F.max_by(F.struct("root", "hub"), F.struct("c", "root")).alias("best"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return best.select("token", F.col("best.root").alias("major"), F.col("best.hub.sig").alias("hub"), F.col("best.hub.n").alias("m"))
-
-
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     judged = stored(_linking_sets(docs, width, percent), "sets")
