@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .chunks import CENSUS, answers, by_bucket, census_rows, frame, in_chunks, looked_up, repeated_keys, squeeze
 from .common import chunk_count, partitions
 
-LENGTH, GRAM, LARGEST, NULL_ID = 50, 28, 2_000_000, 2**63 - 1
+LENGTH, GRAM, LARGEST, BATCH, NULL_ID = 50, 28, 1_000_000, 1 << 19, 2**63 - 1
 _B = 0x9E3779B97F4A7C15
 
 
@@ -86,23 +86,31 @@ class Segments:
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
         self.begins, self.length = ends - sizes, length
-        empty = np.zeros(0, np.int64)
-        self.start = self.windows = self.text = empty
-        self.anchor = self.content = np.zeros(0, np.uint64)
-        if len(self.data) < length:
-            return
-        grams = rolling(self.data, gram)
+        parts, first = [], 0
+        # texts in stretches of about BATCH bytes: the hashes of a stretch take many times its size
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(ends, self.begins[first] + BATCH, side="right")))
+            parts.append(self._stretch(first, last, sizes[first:last], length, gram))
+            first = last
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        self.start, self.windows, self.text, self.anchor, self.content = (np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
+
+    def _stretch(self, first: int, last: int, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        begin = self.begins[first]
+        data, ends = self.data[begin : begin + sizes.sum()], np.cumsum(sizes)
+        if len(data) < length:
+            empty = np.zeros(0, np.int64)
+            return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        grams = rolling(data, gram)
         place = minimizers(grams, length - gram + 1)
-        of = np.repeat(np.arange(len(texts)), sizes)[: len(place)]
+        of = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
         valid = np.arange(len(place)) + length <= ends[of]
         new = valid & np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1]) | ~valid[:-1]])
-        self.start = np.flatnonzero(new)
-        number = np.cumsum(new)
-        self.windows = np.bincount(number[valid], minlength=len(self.start) + 1)[1:]
-        self.text, self.anchor = of[self.start], grams[place[self.start]]
-        wide = rolling(self.data, length)
-        last = self.start + self.windows - 1
-        self.content = (wide[self.start] * np.uint64(_B) + wide[last]) * np.uint64(_B) + self.windows.astype(np.uint64)
+        start, number = np.flatnonzero(new), np.cumsum(new)
+        windows = np.bincount(number[valid], minlength=len(start) + 1)[1:]
+        wide = rolling(data, length)
+        content = (wide[start] * np.uint64(_B) + wide[start + windows - 1]) * np.uint64(_B) + windows.astype(np.uint64)
+        return start + begin, windows, of[start] + first, grams[place[start]], content
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.start[i] : self.start[i] + self.windows[i] + self.length - 1].tobytes()
@@ -322,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             return pd.DataFrame(columns=columns)
         texts, ids = _texts(pdf), _ids(pdf)
         s = Segments(texts, length, gram)
-        delta = np.zeros(len(s.data) + 1, np.int64)
+        delta = np.zeros(len(s.data) + 1, np.int32)
         if len(reply):
             content = np.frombuffer(b"".join(reply["contents"]), "<u8")
             mask = np.frombuffer(b"".join(reply["masks"]), "<u8")
