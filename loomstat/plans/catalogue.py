@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import vectors as V
-from loomstat.operators import linear, metrics, neighbours, preprocess, selection
+from loomstat.operators import decomposition, linear, metrics, neighbours, preprocess, selection
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
@@ -254,3 +254,21 @@ def _(spark, d):
 def _(spark, d):
     x = table(spark, d, "lineitem").select(F.expr(FLAG).alias("y"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("p"))
     return metrics.confusion(x, "y", "p")
+
+
+@query("pca_explained_variance", "WITH c AS (SELECT covar_samp(a, a) AS aa, covar_samp(b, b) AS bb, covar_samp(a, b) AS ab FROM (SELECT l_quantity AS a, l_extendedprice / 1000 AS b FROM " + ITEM + ")), e AS (SELECT (aa + bb) / 2 AS m, sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS h FROM c) SELECT round(m + h, 4) AS first, round(m - h, 4) AS second, round((m + h) / (2 * m), 6) AS ratio FROM e")
+def _(spark, d):
+    x = items(spark, d).select(F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+    model = decomposition.PCA(["a", "b"]).fit(x)
+    row = (float(model.variance[0]), float(model.variance[1]), float(model.ratio[0]))
+    return spark.createDataFrame([row], "first double, second double, ratio double").select(F.round("first", 4).alias("first"), F.round("second", 4).alias("second"), F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    "chi2",
+    "WITH o AS (SELECT feature, y, sum(x) AS o FROM (SELECT y, unnest(['l_quantity','l_discount','l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax]) AS x FROM "
+    + ITEM
+    + ") GROUP BY feature, y), e AS (SELECT *, sum(o) OVER (PARTITION BY feature) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e FROM o) SELECT feature, round(sum((o - e) * (o - e) / e), 6) AS chi2 FROM e GROUP BY feature",
+)
+def _(spark, d):
+    return selection.chi2(items(spark, d), FEATURES, "y").select("feature", F.round("chi2", 6).alias("chi2"))

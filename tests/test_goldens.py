@@ -73,3 +73,12 @@ def test_split_sizes(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     assert preprocess.train_test_split(df, "k", 0.2).where("is_test").count() == 2
     assert [r["count"] for r in preprocess.kfold(df, "k", 3).groupBy("fold").count().orderBy("fold").collect()] == [4, 3, 3]
+
+
+def test_pca_of_a_line(spark):
+    from loomstat.operators.decomposition import PCA
+
+    df = spark.createDataFrame([(float(x), 2.0 * x) for x in range(10)], "a double, b double")
+    model = PCA(["a", "b"]).fit(df)
+    assert model.ratio[0] == pytest.approx(1) and model.components[0][1] == pytest.approx(2 / 5**0.5)
+    assert model.transform(df).agg(F.avg("pc0")).first()[0] == pytest.approx(0, abs=1e-9)
