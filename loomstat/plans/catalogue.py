@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import vectors as V
-from loomstat.operators import decomposition, linear, metrics, neighbours, preprocess, selection
+from loomstat.operators import counts, decomposition, linear, metrics, neighbours, preprocess, selection
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
@@ -272,3 +272,13 @@ def _(spark, d):
 )
 def _(spark, d):
     return selection.chi2(items(spark, d), FEATURES, "y").select("feature", F.round("chi2", 6).alias("chi2"))
+
+
+@query(
+    "multinomial_nb_fit",
+    "SELECT y, feature, round(ln((s + 1) / (sum(s) OVER (PARTITION BY y) + 3)), 6) AS theta FROM (SELECT y, unnest(['l_quantity','l_discount','l_tax']) AS feature, unnest([sum(l_quantity), sum(l_discount), sum(l_tax)]) AS s FROM " + ITEM + " GROUP BY y)",
+)
+def _(spark, d):
+    m = counts.MultinomialNB(FEATURES, "y").fit(items(spark, d))
+    rows = [(c, f, w) for c, ws in zip(m.classes, m.weights, strict=True) for f, w in zip(FEATURES, ws, strict=True)]
+    return spark.createDataFrame(rows, "y int, feature string, theta double").select("y", "feature", F.round("theta", 6).alias("theta"))
