@@ -18,11 +18,12 @@ Defined results: null texts are empty and hold the end id alone; null ids come f
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from .common import fresh_path, partitions, stored
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
 FRAME, DOC, FOOTER = "<QQQI", np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), "<IIQQI4sI"
 FRAME_SIZE, FOOTER_SIZE = struct.calcsize(FRAME), struct.calcsize(FOOTER)
-MEMO = 700_000
+MEMO = 1_400_000
 
 
 def default_vocabulary() -> str:
@@ -48,6 +49,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Memo(dict):
+    """What a function gave for a key. Full, it becomes the older half, whose keys come back when they are asked for again."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.compute, self.half, self.older = compute, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        self[key] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes. Pieces seen before come from bounded memos of what the library gave for them."""
 
@@ -59,32 +78,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        # a space with white space after it, or at the end, isn't a cut
+        self.uncut, self.cuts = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").split
         # the byte alphabet of byte-level vocabularies: printable Latin-1 stands for itself, other bytes follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
-
-    def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.words) > MEMO:
-            self.words.clear()
-        if len(self.others) > MEMO // 4:
-            self.others.clear()
-        words, others = self.words, self.others
-        pieces = [_stretches(t) for t in texts]
-        new = {s for s in set().union(*pieces) if s not in words and s not in others}
-        mixed = {s: self.cut(s) for s in new if not s[1:].isalpha()}
-        missing = {s for s in new if s not in mixed}.union(*mixed.values()).difference(words)
-        if missing:
-            # cut words go straight to the library's model, without its pipeline around them
-            tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
-            for s in missing:
-                words[s] = array("I", [t.id for t in tokenize(s.encode("utf-8").decode("latin-1").translate(alphabet))]).tobytes()
-        for s, parts in mixed.items():
-            others[s] = b"".join([words[x] for x in parts])
-        get, other = words.get, others.__getitem__
-        return [b"".join([get(s) or other(s) for s in found]) for found in pieces]
+        #: by stretch between cuts, its leading space left out; by word of the library's own cutting
+        self.spaced = Memo(lambda s: self._stretch(" " + s), MEMO)
+        self.bare = Memo(self._word, MEMO // 8)
+
+    def _word(self, word: str) -> bytes:
+        # cut words go straight to the library's model, without its pipeline around them
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        if stretch[1:].isalpha():
+            return self._word(stretch)
+        return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.bare[w] for w in self.cut(stretch)])
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = self.cuts(text) if self.uncut(text) else text.split(" ")
+        return self._stretch(first) + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -97,20 +112,6 @@ def encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
-def _stretches(text: str) -> list[str]:
-    """The text cut before each space that has a character other than white space after it."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out if out[0] else out[1:]
-
-
 def _connect(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else "file://" + path)
 
@@ -185,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str | N
         for b in batches:
             for at in range(0, len(b), docs_per_frame):
                 part = b.iloc[at : at + docs_per_frame]
-                ids = [x + end for x in encode(part["text"].tolist())]
+                ids = [encode(x) + end for x in part["text"]]
                 records = np.zeros(len(part), DOC)
                 null = part["doc_id"].isna().to_numpy()
                 records["id"], records["null"], records["n"] = part["doc_id"].fillna(0).to_numpy(np.int64), null, [len(x) // 4 for x in ids]

@@ -266,7 +266,7 @@ def test_encoder_agrees_with_the_library():
     rng, own = random.Random(4), token_output.Encoder(token_output.default_vocabulary())
     parts = [" ", "  ", "\n", "\t", " ", "　", "a", "word", "it's", "12", "é", "日本", "!", "<|endoftext|>", "\x1c", "\x85", "🙂"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in map(own, texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_toxicity(spark, none):
