@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import vectors as V
-from loomstat.operators import counts, decomposition, linear, metrics, neighbours, preprocess, selection
+from loomstat.operators import counts, decomposition, linear, margins, metrics, neighbours, preprocess, selection, trees
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
@@ -282,3 +282,66 @@ def _(spark, d):
     m = counts.MultinomialNB(FEATURES, "y").fit(items(spark, d))
     rows = [(c, f, w) for c, ws in zip(m.classes, m.weights, strict=True) for f, w in zip(FEATURES, ws, strict=True)]
     return spark.createDataFrame(rows, "y int, feature string, theta double").select("y", "feature", F.round("theta", 6).alias("theta"))
+
+
+CELL = f"SELECT y, l_extendedprice, f, CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END AS x FROM (SELECT *, unnest([0, 1, 2]) AS f FROM {ITEM})"
+
+
+@query(
+    "decision_tree_stump",
+    f"WITH c AS (SELECT f, x, count(*) AS n, count(*) FILTER (y = 0) AS a, count(*) FILTER (y = 1) AS b, count(*) FILTER (y = 2) AS c FROM ({CELL}) GROUP BY f, x), "
+    "l AS (SELECT f, x, lead(x) OVER v AS nx, sum(n) OVER v AS ln, sum(a) OVER v AS la, sum(b) OVER v AS lb, sum(c) OVER v AS lc, sum(n) OVER g AS n, sum(a) OVER g AS a, sum(b) OVER g AS b, sum(c) OVER g AS c FROM c WINDOW v AS (PARTITION BY f ORDER BY x ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY f)), "
+    "s AS (SELECT f, (x + nx) / 2 AS t, (1 - (a*a + b*b + c*c) / (n*n)::DOUBLE) - ln / n * (1 - (la*la + lb*lb + lc*lc) / (ln*ln)::DOUBLE) - (n - ln) / n * (1 - ((a-la)*(a-la) + (b-lb)*(b-lb) + (c-lc)*(c-lc)) / ((n-ln)*(n-ln))::DOUBLE) AS gain FROM l WHERE nx IS NOT NULL) "
+    "SELECT CASE f WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' ELSE 'l_tax' END AS feature, round(t, 6) AS threshold FROM s ORDER BY round(gain, 12) DESC, f, t LIMIT 1",
+)
+def _(spark, d):
+    root = trees.DecisionTree(FEATURES, "y", max_depth=1).fit(items(spark, d)).nodes[0]
+    return spark.createDataFrame([(root.feature, root.threshold)], "feature string, threshold double").select("feature", F.round("threshold", 6).alias("threshold"))
+
+
+@query(
+    "regression_tree_stump",
+    f"WITH c AS (SELECT f, x, count(*) AS n, sum(l_extendedprice) AS a, sum(l_extendedprice * l_extendedprice) AS b FROM ({CELL}) GROUP BY f, x), "
+    "l AS (SELECT f, x, lead(x) OVER v AS nx, sum(n) OVER v AS ln, sum(a) OVER v AS la, sum(b) OVER v AS lb, sum(n) OVER g AS n, sum(a) OVER g AS a, sum(b) OVER g AS b FROM c WINDOW v AS (PARTITION BY f ORDER BY x ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY f)), "
+    "s AS (SELECT f, (x + nx) / 2 AS t, la / ln AS lm, (a - la) / (n - ln) AS rm, la * la / ln + (a - la) * (a - la) / (n - ln) AS gain FROM l WHERE nx IS NOT NULL), "
+    "w AS (SELECT * FROM s ORDER BY gain DESC, f, t LIMIT 1) "
+    "SELECT l_quantity, round(CASE WHEN CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END <= t THEN lm ELSE rm END, 3) AS prediction FROM w, " + ITEM,
+)
+def _(spark, d):
+    x = items(spark, d)
+    model = trees.DecisionTree(FEATURES, "l_extendedprice", "regression", max_depth=1).fit(x)
+    return model.transform(x).select("l_quantity", F.round("prediction", 3).alias("prediction"))
+
+
+DESCENT = "g{k} AS (SELECT w - {rate} * (g + 0.0001::DOUBLE * w) AS w, b - {rate} * h AS b FROM (SELECT any_value(w) AS w, any_value(b) AS b, avg(s * x) AS g, avg(s) AS h FROM (SELECT x, w, b, {slope} AS s FROM g{last}, data)))"
+
+
+def descent(slope: str, label: str, steps: int = 4) -> str:
+    parts = [DESCENT.format(k=k + 1, last=k, slope=slope, rate=f"(0.01::DOUBLE / (1 + 0.0001::DOUBLE * {k}))") for k in range(steps)]
+    return f"WITH data AS (SELECT l_quantity / 50 AS x, {label} AS t FROM {ITEM}), g0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS b), {', '.join(parts)} SELECT round(w, 8) + 0.0::DOUBLE AS w, round(b, 8) + 0.0::DOUBLE AS b FROM g{steps}"
+
+
+def descended(spark: SparkSession, d: str, loss: str, label) -> DataFrame:
+    x = items(spark, d).select((F.col("l_quantity") / 50).alias("x"), label.alias("t"))
+    m = margins.GradientLinear(["x"], "t", loss, max_iter=4, tol=0.0).fit(x)
+    return spark.createDataFrame([(float(m.weights[0]), float(m.intercept))], "w double, b double").select(r(F.col("w"), 8).alias("w"), r(F.col("b"), 8).alias("b"))
+
+
+@query("sgd_squared", descent("(w * x + b - t)", "l_extendedprice / 100000"))
+def _(spark, d):
+    return descended(spark, d, "squared", F.col("l_extendedprice") / 100000)
+
+
+@query("sgd_log", descent("(1 / (1 + exp(-(w * x + b))) - t)", "CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
+def _(spark, d):
+    return descended(spark, d, "log", (F.col("y") == 1).cast("double"))
+
+
+@query("sgd_hinge", descent("(CASE WHEN t * (w * x + b) < 1 THEN -t ELSE 0 END)", "CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"))
+def _(spark, d):
+    return descended(spark, d, "hinge", (F.col("y") == 1).cast("int"))
+
+
+@query("sgd_huber", descent("(CASE WHEN abs(w * x + b - t) <= 1 THEN w * x + b - t ELSE sign(w * x + b - t) END)", "l_extendedprice / 10000"))
+def _(spark, d):
+    return descended(spark, d, "huber", F.col("l_extendedprice") / 10000)
