@@ -1,7 +1,7 @@
 """Exact decision trees, grown level by level, and gradient boosting on them.
 
 A level is one job: rows are routed to their node by a column expression, counted by (node, feature, value) with map-side
-partial sums, and the running sums over the values of a node and feature give every midpoint's gain. Only the best split of
+partial sums, and running sums over the values of a node and feature, range by range, give every midpoint's gain. Only the best split of
 each node comes to the driver, so what is collected is bounded by the number of nodes, not of rows."""
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PURE = 1e-10
+CELLS = 512
 
 
 @dataclass
@@ -43,6 +44,7 @@ class DecisionTree:
     min_leaf: int = 1
     min_gain: float = 0.0
     nodes: list[Node] = field(default_factory=list)
+    bounds: list[tuple[float, float]] = field(default_factory=list, repr=False)
 
     def _sums(self, classes: Sequence[int]) -> dict[str, Column]:
         y = F.col("y_")
@@ -63,7 +65,8 @@ class DecisionTree:
         classes = [] if self.task == "regression" else [r[0] for r in rows.select("y_").distinct().orderBy("y_").collect()]
         parts = 2 if self.task == "regression" else len(classes)
         names = [f"a{i}_" for i in range(parts)]
-        self.nodes = [self._leaf(rows.agg(*[c.alias(n) for n, c in self._sums(classes).items()]).first(), classes, names)]
+        top = rows.agg(*[c.alias(n) for n, c in self._sums(classes).items()], *[F.struct(F.min(f), F.max(f)).alias(f"r{i}_") for i, f in enumerate(self.features)]).first()
+        self.nodes, self.bounds = [self._leaf(top, classes, names)], [tuple(top[f"r{i}_"]) for i in range(len(self.features))] if top["n_"] else []
         open_nodes = [0] if self._splittable(rows, classes) else []
         for _ in range(self.max_depth):
             if not open_nodes:
@@ -88,10 +91,8 @@ class DecisionTree:
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f_"), F.col(f).alias("x_")) for i, f in enumerate(self.features)])).alias("cell_")
         at = rows.select(self.node().alias("node_"), "y_", cells).where(F.col("node_").isin(list(open_nodes))).select("node_", "y_", "cell_.*")
         counts = at.groupBy("node_", "f_", "x_").agg(*[c.alias(n) for n, c in self._sums(classes).items()])
-        group = Window.partitionBy("node_", "f_")
-        running, every = ["n_", *names], group.orderBy("x_")
-        left = counts.select("node_", "f_", "x_", F.lead("x_").over(every).alias("next_"), *[F.sum(c).over(every.rowsBetween(Window.unboundedPreceding, 0)).alias(f"l{c}") for c in running], *[F.sum(c).over(group).alias(f"t{c}") for c in running])
-        sides = left.where("next_ IS NOT NULL").select("*", *[(F.col(f"t{c}") - F.col(f"l{c}")).alias(f"r{c}") for c in running])
+        left = self._running(counts, ["n_", *names])
+        sides = left.where("next_ IS NOT NULL").select("*", *[(F.col(f"t{c}") - F.col(f"l{c}")).alias(f"r{c}") for c in ["n_", *names]])
         impurity = {s: self._impurity(F.col(f"{s}n_"), [F.col(f"{s}{c}") for c in names]) for s in "tlr"}
         gain = impurity["t"] - F.col("ln_") / F.col("tn_") * impurity["l"] - F.col("rn_") / F.col("tn_") * impurity["r"]
         scored = sides.select("*", F.round(gain, 12).alias("gain_"), impurity["t"].alias("at_"), impurity["l"].alias("li_"), impurity["r"].alias("ri_"), ((F.col("x_") + F.col("next_")) / 2).alias("split_"))
@@ -99,6 +100,26 @@ class DecisionTree:
         kept = ["gain_", "f_", "split_", "at_", "li_", "ri_", "ln_", "rn_", *[f"{s}{c}" for s in "lr" for c in names]]
         return scored.where(F.col("at_") >= PURE).groupBy("node_").agg(F.max_by(F.struct(*kept), rank).alias("b")).select("node_", "b.*").orderBy("node_").collect()
 
+    def _running(self, counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """next_, running sums l* and totals t* over the values of each node and feature.
+
+        The values are dealt into CELLS ranges of their feature; a task runs over one range, and the sums before a range come from
+        a table of at most CELLS rows for each node and feature, so a feature with many values isn't in one task."""
+        bounds = self.bounds
+        cell = F.lit(0)
+        for i, (low, high) in enumerate(bounds):
+            if high > low:
+                cell = F.when(F.col("f_") == i, F.floor((F.col("x_") - low) / (high - low) * (CELLS - 1)).cast("int")).otherwise(cell)
+        counts = counts.withColumn("c_", cell)
+        group, after = Window.partitionBy("node_", "f_"), Window.partitionBy("node_", "f_").orderBy("c_")
+        cells = counts.groupBy("node_", "f_", "c_").agg(F.min("x_").alias("first_"), *[F.sum(c).alias(c) for c in columns])
+        before = after.rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.select("node_", "f_", "c_", F.lead("first_").over(after).alias("beyond_"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in columns], *[F.sum(c).over(group).alias(f"t{c}") for c in columns])
+        inside = Window.partitionBy("node_", "f_", "c_").orderBy("x_")
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        own = counts.select("node_", "f_", "c_", "x_", F.lead("x_").over(inside).alias("near_"), *[F.sum(c).over(upto).alias(f"w{c}") for c in columns])
+        return own.join(cells, ["node_", "f_", "c_"]).select("node_", "f_", "x_", F.coalesce("near_", "beyond_").alias("next_"), *[(F.col(f"b{c}") + F.col(f"w{c}")).alias(f"l{c}") for c in columns], *[f"t{c}" for c in columns])
+
     def _grow(self, split, classes: Sequence[int], names: Sequence[str]) -> list[int]:
         if split["gain_"] < self.min_gain or min(split["ln_"], split["rn_"]) < self.min_leaf:
             return []
