@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import vectors as V
-from loomstat.operators import counts, decomposition, linear, margins, metrics, neighbours, preprocess, selection, trees
+from loomstat.operators import counts, decomposition, density, linear, margins, metrics, neighbours, preprocess, selection, trees
 from loomstat.registry import Catalogue
 from loomstat.session import table
 
@@ -345,3 +345,12 @@ def _(spark, d):
 @query("sgd_huber", descent("(CASE WHEN abs(w * x + b - t) <= 1 THEN w * x + b - t ELSE sign(w * x + b - t) END)", "l_extendedprice / 10000"))
 def _(spark, d):
     return descended(spark, d, "huber", F.col("l_extendedprice") / 10000)
+
+
+@query(
+    "dbscan_points",
+    "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), near AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05::DOUBLE * 0.05::DOUBLE), c AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5) SELECT id, id IN (SELECT a FROM c) AS core, id NOT IN (SELECT near.a FROM near JOIN c ON near.b = c.a) AS noise FROM p",
+)
+def _(spark, d):
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return density.dbscan(x, ["x", "y"], 0.05, 5).select("id", "core", (F.col("cluster") == -1).alias("noise"))

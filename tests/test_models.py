@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomstat.operators import linear, margins, preprocess, trees, validation
+from loomstat.operators import density, linear, margins, preprocess, trees, validation
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,27 @@ def test_cross_validation_grid_and_pipeline(spark):
     assert validation.r_squared(pipe.transform(df), "y") == pytest.approx(1.0)
     with pytest.raises(ValueError, match="needs a step"):
         validation.Pipeline([]).fit(df)
+
+
+def test_dbscan_numbers_clusters_and_leaves_noise(spark):
+    chain = [(i, 0.4 * i, 0.0) for i in range(12)]
+    other = [(20 + i, 30.0 + 0.1 * i, 5.0) for i in range(4)]
+    df = spark.createDataFrame([*chain, *other, (50, -80.0, 9.0), (51, None, 1.0)], "id long, x double, y double").repartition(3)
+    got = {r.id: (r.cluster, r.core) for r in density.dbscan(df, ["x", "y"], 0.5, 3).collect()}
+    assert {got[i][0] for i in range(12)} == {0} and {got[20 + i][0] for i in range(4)} == {1}
+    assert got[0] == (0, False) and got[50] == (-1, False) and 51 not in got
+    assert density.dbscan(df.limit(0), ["x", "y"]).count() == 0
+
+
+def test_squared_silhouette(spark):
+    rows = [(0.0, 0.0, 0), (0.5, 0.5, 0), (-0.5, -0.5, 0), (5.0, 5.0, 1), (5.5, 5.5, 1), (4.5, 4.5, 1)]
+    df = spark.createDataFrame(rows, "x double, y double, cluster int")
+
+    def point(i):
+        d = lambda j: (rows[i][0] - rows[j][0]) ** 2 + (rows[i][1] - rows[j][1]) ** 2
+        a = sum(d(j) for j in range(6) if rows[j][2] == rows[i][2]) / 2
+        b = sum(d(j) for j in range(6) if rows[j][2] != rows[i][2]) / 3
+        return (b - a) / max(a, b)
+
+    assert density.squared_silhouette(df, ["x", "y"]) == pytest.approx(sum(map(point, range(6))) / 6)
+    assert density.squared_silhouette(df.where("cluster = 0"), ["x", "y"]) == 0.0
