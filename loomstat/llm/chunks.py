@@ -61,6 +61,17 @@ def by_bucket(squeezed: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(of[a]), slice(a, b)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the least of 2, 4 or 8 bytes that holds the largest of them exactly."""
+    most = int(counts.max(initial=0))
+    return counts.astype("<u2" if most < 2**16 else "<u4" if most < 2**32 else "<u8").tobytes()
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    """The n counts of pack_counts; their width follows from the length."""
+    return np.frombuffer(blob, f"<u{len(blob) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 CENSUS = "chunk int, bucket int, keys binary, counts binary"
 
 
@@ -69,14 +80,14 @@ def census_rows(chunk: int, squeezed: np.ndarray, counts: np.ndarray) -> pd.Data
     out = []
     for bucket, part in by_bucket(squeezed):
         c = counts[part]
-        out.append((chunk, bucket, pack40(squeezed[part] & LOW), b"" if (c == 1).all() else np.minimum(c, 65535).astype("<u2").tobytes()))
+        out.append((chunk, bucket, pack40(squeezed[part] & LOW), b"" if (c == 1).all() else pack_counts(c)))
     return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "counts"])
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, those of its keys that all chunks together hold at least twice, with their numbers."""
     keys = [unpack40(k) for k in pdf["keys"]]
-    counts = [np.frombuffer(c, "<u2").astype(np.int64) if c else np.ones(len(k), np.int64) for k, c in zip(keys, pdf["counts"], strict=True)]
+    counts = [unpack_counts(c, len(k)) if c else np.ones(len(k), np.int64) for k, c in zip(keys, pdf["counts"], strict=True)]
     every, tally = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
     every, tally = every[order], tally[order]
@@ -90,12 +101,12 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         hit = known[at] == own
         if hit.any():
-            out.append((chunk, bucket, pack40(own[hit]), np.minimum(total[at[hit]], 2**32 - 1).astype("<u4").tobytes()))
+            out.append((chunk, bucket, pack40(own[hit]), pack_counts(total[at[hit]])))
     return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "counts"])
 
 
 def repeated_keys(census: DataFrame) -> DataFrame:
-    """CENSUS rows of the answers: keys that occur twice or more, counts as 32-bit numbers."""
+    """CENSUS rows of the answers: keys that occur twice or more, with exact counts."""
     return census.groupBy("bucket").applyInPandas(_merge, CENSUS)
 
 
@@ -104,7 +115,7 @@ def answers(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not len(pdf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys = np.concatenate([unpack40(k) | (np.uint64(b) << np.uint64(40)) for b, k in zip(pdf["bucket"], pdf["keys"], strict=True)])
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]]).astype(np.int64)
+    counts = np.concatenate([unpack_counts(c, len(k) // 5) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
     order = np.argsort(keys, kind="stable")
     return keys[order], counts[order]
 

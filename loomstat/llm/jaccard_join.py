@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CENSUS, answers, census_rows, frame, in_chunks, looked_up, repeated_keys, squeeze
+from .chunks import CENSUS, answers, census_rows, frame, in_chunks, looked_up, pack_counts, repeated_keys, squeeze, unpack_counts
 from .common import chunk_count, partitions, stored
 from .components import components
 
@@ -111,7 +111,7 @@ def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 copies = int(looked_up(squeeze(np.array([sig], np.uint64), buckets), table, counts, 1)[0])
                 df = looked_up(squeeze(s, buckets), table, counts, 1)
                 if (df > copies).sum() >= needed(n, percent):
-                    row = (*row[:3], s.tobytes(), df.astype("<u4").tobytes())
+                    row = (*row[:3], s.tobytes(), pack_counts(df))
             out.append(row)
         return frame(out, ["doc_id", "n_shingles", "sig", "tokens", "df"], ("doc_id", "n_shingles", "sig"))
 
@@ -138,7 +138,7 @@ def _postings(sets: DataFrame, percent: int, longest: int) -> DataFrame:
         for b in batches:
             out = []
             for sig, n, tokens, df in zip(b["sig"], b["n"], b["tokens"], b["df"], strict=True):
-                t, f = np.frombuffer(tokens, np.uint64), np.frombuffer(df, "<u4").astype(np.int64)
+                t, f = np.frombuffer(tokens, np.uint64), unpack_counts(df, n)
                 order = np.lexsort((t, f))
                 t, f = t[order], f[order]
                 l, base = chosen_length(f, n, percent, longest), n - needed(n, percent)

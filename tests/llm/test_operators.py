@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomstat.llm import chat_format, decontamination, exact_dedup, jaccard_join, lattice_lm, mixing, substring_dedup, token_output, toxicity, url_filter
+from loomstat.llm import chat_format, chunks, decontamination, exact_dedup, jaccard_join, lattice_lm, mixing, substring_dedup, token_output, toxicity, url_filter
 from loomstat.llm.queries import CATALOGUE
 
 SCHEMA = "doc_id long, text string, lang string, source string, keep_id string, chunk int"
@@ -148,6 +149,29 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_census_counts_are_exact():
+    keys, counts = np.array([3, 8, (1 << 40) + 5], np.uint64), np.array([70_000, 65_535, 2**32 + 1])
+    sent = [chunks.census_rows(i, keys, counts) for i in range(2)]
+    replies = [chunks._merge(b) for _, b in pd.concat(sent).groupby("bucket")]
+    for i in range(2):
+        found, total = chunks.answers(pd.concat([r[r["chunk"] == i] for r in replies]))
+        assert found.tolist() == keys.tolist() and total.tolist() == (2 * counts).tolist()
+
+
+def test_near_copy_of_a_set_with_many_copies(spark):
+    text = "a b c d e f g h"
+    docs = spark.range(66_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(-1, text + " i"), (-2, "p q r s t u v")], "doc_id long, text string"))
+    # one partition, hence one chunk, which alone holds more copies than 16 bits count
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = jaccard_join.jaccard_components(docs).groupBy("component_id").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.component_id: r["count"] for r in got} == {-1: 66_001, -2: 1}
+
+
 def test_url_filter(spark):
     rng = random.Random(3)
     hosts = ["example.net", "a.example.net", "notexample.net", "x.org", "org", "m.spam-x.com", "example.com", "EXAMPLE.COM", "net", ".net", "net.org:80"]
