@@ -11,8 +11,8 @@ ones, the rest together): sum over components of their share times the product o
 row isn't read. Piece probabilities start from the vocabulary's own scores and are fitted for each component by expectation
 maximisation over the lattices of all training words, with their counts in all training documents.
 
-Recursions run over many words at once. Words of up to `SHORT` characters multiply probabilities, whose smallest product stays far
-above the least double, and take the log at the end; longer ones run in log space throughout.
+Recursions run over many words at once. Words of up to `SHORT` characters multiply probabilities and take the log at the end; those with
+a sum below `LEAST` in any component, which doubles hold badly or not at all, and all longer ones run in log space throughout.
 
 Distribution: chunks of documents send each bucket of words its distinct words with their training counts; a bucket merges
 them into its part of the vocabulary, scores each distinct word once, and answers the chunks. Expected piece counts are
@@ -37,6 +37,7 @@ from .chunks import frame, in_chunks
 from .common import chunk_count, partitions, stored
 
 FOLDS, HELD_OUT, ROUNDS, PRIOR, DISCOUNT, COMPONENTS, SHORT, BATCH = 5, 1, 2, 2000.0, 0.6, 6, 40, 4096
+LEAST = 1e-250
 MARK, BASE = "▁", 0x9E3779B97F4A7C15
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -115,23 +116,36 @@ class Lattice:
             yield np.array(order[at:end]), [MARK + words[i] for i in order[at:end]]
             at = end
 
+    def _forward(self, arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], n: int, texts: int) -> np.ndarray:
+        """Natural logs of the sums over all segmentations up to each position: positions by texts by components."""
+        shape = (n + 1, texts, self.p.shape[1])
+        deep = np.ones(texts, bool)
+        if n <= SHORT:
+            linear = np.zeros(shape)
+            linear[0] = 1.0
+            for (i, j), (r, k) in arcs.items():
+                linear[j, r] += linear[i, r] * self.p[k]
+            # every position can be reached, so a sum this small has lost digits or is 0 for want of range
+            deep = (linear < LEAST).any(axis=(0, 2))
+            with np.errstate(divide="ignore"):
+                log = np.log(linear)
+        else:
+            log = np.empty(shape)
+        if deep.any():
+            log[:, deep] = -np.inf
+            log[0, deep] = 0.0
+            logp = np.log(self.p)
+            for (i, j), (r, k) in arcs.items():
+                r, k = r[deep[r]], k[deep[r]]
+                log[j, r] = np.logaddexp(log[j, r], log[i, r] + logp[k])
+        return log
+
     def logs(self, words: list[str]) -> np.ndarray:
         """Natural logs, words by components."""
         out = np.empty((len(words), self.p.shape[1]))
         for rows, texts in self._groups(words):
             arcs, n = self._arcs(texts), len(texts[0])
-            if n <= SHORT:
-                alpha = np.zeros((n + 1, len(texts), self.p.shape[1]))
-                alpha[0] = 1.0
-                for (i, j), (r, k) in arcs.items():
-                    alpha[j, r] += alpha[i, r] * self.p[k]
-                out[rows] = np.log(alpha[n])
-            else:
-                log = np.full((n + 1, len(texts), self.p.shape[1]), -np.inf)
-                log[0] = 0.0
-                for (i, j), (r, k) in arcs.items():
-                    log[j, r] = np.logaddexp(log[j, r], log[i, r] + np.log(self.p[k]))
-                out[rows] = log[n]
+            out[rows] = self._forward(arcs, n, len(texts))[n]
         return out
 
     def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
@@ -141,19 +155,7 @@ class Lattice:
         for rows, texts in self._groups(words):
             arcs, n, m = self._arcs(texts), len(texts[0]), self.p.shape[1]
             # in steps scaled by the forward sums, so that texts of any length fit
-            alpha, weight = np.full((n + 1, len(texts), m), -np.inf), np.zeros((n + 1, len(texts), m))
-            alpha[0] = 0.0
-            logp = np.log(self.p)
-            if n <= SHORT:
-                linear = np.zeros((n + 1, len(texts), m))
-                linear[0] = 1.0
-                for (i, j), (r, k) in arcs.items():
-                    linear[j, r] += linear[i, r] * self.p[k]
-                with np.errstate(divide="ignore"):
-                    alpha = np.log(linear)
-            else:
-                for (i, j), (r, k) in arcs.items():
-                    alpha[j, r] = np.logaddexp(alpha[j, r], alpha[i, r] + logp[k])
+            alpha, weight, logp = self._forward(arcs, n, len(texts)), np.zeros((n + 1, len(texts), m)), np.log(self.p)
             weight[n] = times[rows]
             used, shares = [], []
             for (i, j), (r, k) in reversed(arcs.items()):

@@ -247,6 +247,24 @@ def test_lattice_sums_all_segmentations(spark):
     assert counts[:, 1].sum() == 0 and counts[:, 0].sum() > 2
 
 
+def test_short_words_below_the_least_double():
+    pieces = [f"<0x{b:02X}>" for b in range(256)] + ["▁", "a"]
+    p = np.full((len(pieces), 2), 1e-10)
+    p[:, 1] = 1 / len(pieces)
+    p[256] = 0.5
+    lattice = lattice_lm.Lattice(pieces, p)
+    for word, n in [("a" * 36, 36), ("አ" * 12, 36), ("b", 1)]:
+        each = lattice.logs([word, "a"])
+        assert each[0] == pytest.approx(math.log(0.5) + n * np.log(p[0]))
+        # as many as the word has, where it is counted, and none in the other component
+        for times in ([0.0, 3.0], [3.0, 0.0]):
+            counts = lattice.expected([word, "a"], np.array([times, [1.0, 1.0]]))
+            assert counts[256] == pytest.approx(np.array(times) + 1)
+            bytes_of = [b for c in word if c != "a" for b in c.encode()]
+            assert counts[:256].sum(axis=0) == pytest.approx(np.array(times) * len(bytes_of))
+            assert counts[257] == pytest.approx(1 + np.array(times) * word.count("a"))
+
+
 def test_lattice_scores(docs, rows, none):
     train = Counter()
     for r in rows:
