@@ -6,6 +6,10 @@ of documents and benchmark items are hash-joined and compared token by token. Wi
 positions in document and item) make one occurrence. In an occurrence the slots must be consistent: the item's values and the
 document's must map one to one. It counts from `least` windows on, or all of the item's windows where it has fewer.
 
+An item shorter than a window is by default compared with documents that are as short as it. With `short_items` it is also looked for
+inside longer documents, by windows of its own length; there an item of placeholders alone is found with its own values only,
+as its template would fit any. The query and the pipeline set it.
+
 Scale: the windows of the benchmark are broadcast only while their number is within `broadcast_windows`; above that the join
 shuffles the windows' hashes. Joined rows grow with the number of matching windows alone.
 
@@ -48,20 +52,28 @@ def template_token(token: Column) -> Column:
     return F.when((token >= NAME) & (token < AFTER), F.substring(token, 1, 1)).otherwise(token)
 
 
-def windows(texts: DataFrame, key: str, window: int) -> DataFrame:
-    """key, pos, w0.., h: each window of marked tokens with the hash of its template."""
+def windows(texts: DataFrame, key: str, window: int, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """key, pos, w0.., h: each window of marked tokens with the hash of its template. shorter: further lengths of windows, padded; a text of
+    just that length has its one padded window anyway. With them, len is the window's length."""
     text = F.coalesce("text", F.lit(""))
     rows = texts.select(key, text.alias("text"), text.rlike(r"\p{N}").alias("numeric"), text.rlike(r"[\p{Ll}\p{N},] \p{Lu}").alias("proper"))
     # the generator keeps the optimiser from copying the tokens' expression into each of their uses
     rows = rows.select(key, F.explode(F.array(marked_tokens(F.col("text")))).alias("t")).where(F.size("t") > 0)
-    rows = rows.select(key, F.when(F.size("t") < window, F.concat("t", F.array_repeat(F.lit(""), window - F.size("t")))).otherwise(F.col("t")).alias("t"))
-    shifted = [F.slice("t", i + 1, F.size("t") - window + 1).alias(f"w{i}") for i in range(window)]
-    rows = rows.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
-    rows = rows.select(key, "pos", *[F.col(f"w.w{i}").alias(f"w{i}") for i in range(window)])
+    length, kept = F.lit(window), [key]
+    if shorter:
+        length, kept = F.col("len"), [key, "len"]
+        rows = rows.select(key, F.explode(F.array(*map(F.lit, (window, *shorter)))).alias("len"), "t").where((length == window) | (F.size("t") > length))
+    rows = rows.select(*kept, F.when((length == window) & (F.size("t") < window), F.concat("t", F.array_repeat(F.lit(""), window - F.size("t")))).otherwise(F.col("t")).alias("t"))
+    number = F.size("t") - length + 1
+    shifted = [F.slice("t", i + 1, number) for i in range(window)]
+    if shorter:
+        shifted = [F.when(length > i, s).otherwise(F.array_repeat(F.lit(""), number)) for i, s in enumerate(shifted)]
+    rows = rows.select(*kept, F.posexplode(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])).alias("pos", "w"))
+    rows = rows.select(*kept, "pos", *[F.col(f"w.w{i}").alias(f"w{i}") for i in range(window)])
     return rows.withColumn("h", F.xxhash64(*[template_token(F.col(f"w{i}")) for i in range(window)]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS, short_items: bool = False) -> DataFrame:
     """doc_id, item_id, windows, item_windows, changed_slots, occurrences: a row for each document and item found in it."""
     item = windows(benchmark, "item_id", window)
     sizes = item.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
@@ -73,8 +85,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     same = F.col("h") == F.col("item_h")
     for i in range(window):
         same &= template_token(F.col(f"w{i}")) == template_token(F.col(f"b{i}"))
-    pairs = windows(docs, "doc_id", window).join(renamed, same)
     slot = [(F.col(f"w{i}"), F.col(f"b{i}")) for i in range(window)]
+    shorter = _short_lengths(item, window) if short_items else ()
+    if shorter:
+        plain, equal = F.lit(False), F.lit(True)
+        for w, b in slot:
+            plain |= (b != "") & ~((b >= NAME) & (b < AFTER))
+            equal &= w == b
+        same &= (F.col("len") == window) | plain | equal
+    pairs = windows(docs, "doc_id", window, shorter).join(renamed, same)
     slots = F.filter(F.array(*[F.when((w >= NAME) & (w < AFTER), F.struct(F.substring(w, 1, 1).alias("kind"), b.alias("b"), w.alias("d"))) for w, b in slot]), lambda s: s.isNotNull())
     runs = (
         pairs.select("doc_id", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"), slots.alias("slots"))
@@ -91,12 +110,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return kept.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.max(changed).cast("long").alias("changed_slots"), F.count(F.lit(1)).alias("occurrences"))
 
 
+def _short_lengths(item: DataFrame, window: int) -> tuple[int, ...]:
+    """The lengths below the window that items have; fewer than the window, however many items there are."""
+    length = sum(((F.col(f"w{i}") != "").cast("int") for i in range(1, window)), F.lit(1))
+    return tuple(sorted(r[0] for r in item.where(F.col(f"w{window - 1}") == "").select(length.alias("n")).distinct().collect()))
+
+
 def _with_sizes(item: DataFrame, sizes: DataFrame) -> DataFrame:
     named = sizes.select(F.col("item_id").alias("sized_id"), "item_windows")
     return item.join(named, F.col("item_id").eqNullSafe(F.col("sized_id"))).drop("sized_id")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: int | bool) -> DataFrame:
     """The rows of docs, all columns as they are, without documents that hold an item."""
     found = find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("found_id")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")

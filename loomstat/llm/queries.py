@@ -65,4 +65,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOGUE.query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)

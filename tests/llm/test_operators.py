@@ -335,6 +335,29 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminated(docs, bench).count() == docs.count() and decontamination.find_contamination(none, bench).count() == 0
 
 
+def test_short_items_inside_longer_documents(spark):
+    items = [(1, "What is the capital of France?"), (2, "short one"), (3, "42"), (4, "one two three four five six seven eight")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["Quiz night: what is the capital of France? Nobody in the room knew it.", "so what is the capital of Spain", "a short one here", "Short one!", "a short, long one", "7 of 42 were there", "7 of 43", "42", "What is the capital", "one two three four five six seven eight nine"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (decontamination.BROADCAST_WINDOWS, 0):
+        got = decontamination.find_contamination(df, bench, broadcast_windows=most, short_items=True).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, 1), (2, 2), (3, 2), (5, 3), (7, 3), (9, 4)}
+        assert all(r.windows == 1 and r.item_windows == 1 and r.occurrences == 1 for r in got)
+        assert {r.doc_id: r.changed_slots for r in got if r.item_id == 1} == {0: 0, 1: 1}
+
+
+def test_query_and_pipeline_find_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "Quiz night: what is the capital of France? Nobody knew it.", "en", "a", 1), (2, "nothing of the kind is in this text at all", "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in CATALOGUE.builders()["op10_decontamination"](spark, str(tmp_path)).collect()] == [1]
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()] == [2]
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in CATALOGUE.builders()) == list(range(1, 11))
 
