@@ -13,7 +13,8 @@ and renames the file when it is whole, so a task that runs twice leaves one whol
 Encoding is that of the tokenizers library, which cuts this vocabulary's texts before a space that has no white space after it,
 whatever stands around; pieces between such cuts are encoded once and their ids reused, from memos of bounded size.
 
-Defined results: null texts are empty and hold the end id alone; null ids come first; rows with equal ids follow by text.
+Defined results: special tokens' names inside a text are encoded as ordinary text; all else is as
+the library's plain encode(text, add_special_tokens=False) has it; null texts are empty and hold the end id alone; null ids come first; rows with equal ids follow by text.
 """
 
 from __future__ import annotations
@@ -93,7 +94,8 @@ class Encoder:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
-        if stretch[1:].isalpha():
+        # a text's first stretch may begin with what the library cuts off: 'stone is 's and tone
+        if stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()):
             return self._word(stretch)
         return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.bare[w] for w in self.cut(stretch)])
 

@@ -311,6 +311,18 @@ def test_encoder_agrees_with_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in map(own, texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_agrees_with_the_plain_call():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(token_output.default_vocabulary()), token_output.Encoder(token_output.default_vocabulary())
+    ids = lambda text: np.frombuffer(own(text), "<u4").tolist()
+    words = ["stone", "day", "verse", "tone", "reel", "llama", "m", "é", "日本", "ªº", "ǅ"]
+    texts = [start + word + rest for start in ["", "'", "’", "1", "!", "\n", "\t", "\u3000", "_", "''", "²"] for word in words for rest in ["", " ", " 'stone 'day", "\nverse"]]
+    assert list(map(ids, texts)) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # the one intended difference
+    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256] and 50256 not in ids("<|endoftext|>") and len(ids("<|endoftext|>")) == 7
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     plain = ["the", "of", "and", "house", "river", "green", "walks", "slowly"]
