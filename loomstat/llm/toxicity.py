@@ -1,39 +1,37 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character n-gram models over words, one of toxic and one of ordinary labelled texts. Each order takes absolute discount
-D from its class's counts and gives it to the next lower order; below `own_order` both classes share one Kneser-Ney model of
-the pooled counts, so a rare or unseen expression backs off to the same shared counts in both. A word's log ratio is the difference of
-its two log-likelihoods; a text is judged by length-normalised differences: over the whole text, over its best window of six words
-and over its best word. A logistic curve, fitted on labelled rows that the counts don't use, makes a score of the three.
+Two character n-gram models of order `ORDER`, one of toxic and one of ordinary labelled texts. The highest order discounts its class's counts
+by D, each lower order discounts continuation counts (the number of distinct characters that precede a gram); what a discount takes
+goes to the next lower order. Down to order `OWN_ORDER` continuations are counted in the class, below it in both classes together, so
+that an expression which neither class shows backs off to the same shared counts. Histories cross words.
+
+A passage of `PASSAGE` characters is judged by the difference of its toxic and ordinary log-likelihoods over its length; a document by its most
+toxic passage. One logistic curve over that difference, fitted on labelled rows that the counts don't use, makes the score.
 
 Training takes at most `per_class` labelled rows of a class, by a hash of the id; that sample, and with it the model that is sent to
 the tasks, is bounded by this parameter. Everything else reads every row and whole texts.
 
-Defined results: null texts count as empty; a text without words scores the curve at zero evidence (no log ratio at all);
-labels other than 0 and 1 or null aren't learnt from; with one class or none labelled, every score is 0; a document
-labelled twice counts twice. Columns besides doc_id and text aren't read.
+Defined results: null texts count as empty; a text without words has the score of no difference; texts shorter than a passage are one
+passage; labels other than 0 and 1 or null aren't learnt from; with one class or none labelled, every score is 0; a document labelled twice counts twice.
+Columns besides doc_id and text aren't read; columns that are already named score or predicted are replaced.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, words
+from .common import stored
 
-ORDER, OWN_ORDER, DISCOUNT, WINDOW, PER_CLASS, THRESHOLD = 5, 2, 0.75, 6, 6000, 0.7
-_EDGE = re.compile(r"^\W+|\W+$")
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-MEMO = 500_000
+ORDER, OWN_ORDER, DISCOUNT, PASSAGE, PER_CLASS, THRESHOLD = 5, 3, 0.75, 32, 6000, 0.7
+#: Symbols are bytes: 0 stands outside the text, 1 for characters that aren't among the most frequent ones.
+OUTSIDE, RARE, SYMBOLS = 0, 1, 256
+STRETCH, MEMO = 1 << 20, 1 << 21
 
 
 def fold(doc_id: Column, parts: int, salt: str = "") -> Column:
@@ -41,142 +39,231 @@ def fold(doc_id: Column, parts: int, salt: str = "") -> Column:
     return F.pmod(F.crc32(F.concat(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), F.lit(parts))
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points with A-Z lower-cased and each run of white space as one space, none at the ends."""
+    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    space = (p == 32) | ((p >= 9) & (p <= 13))
+    p = np.where(space, 32, np.where((p >= 65) & (p <= 90), p + 32, p))
+    p = p[~(space & np.concatenate([[True], space[:-1]]))]
+    return p[:-1] if len(p) and p[-1] == 32 else p
+
+
+def _slices(text: str | None) -> Iterator[str]:
+    """A text in slices of bounded length; each repeats the end of the one before, so that no passage with its history is lost."""
+    text = text or ""
+    yield text[:STRETCH]
+    for at in range(STRETCH, len(text), STRETCH):
+        yield text[max(0, at - 2 * PASSAGE - ORDER) : at + STRETCH]
+
+
+def _grams(symbols: np.ndarray) -> np.ndarray:
+    """The gram that ends at each symbol, as a number of one byte a symbol."""
+    padded = np.concatenate([np.full(ORDER - 1, OUTSIDE, np.int64), symbols.astype(np.int64)])
+    out = np.zeros(len(symbols), np.int64)
+    for k in range(ORDER):
+        out = (out << 8) | padded[k : k + len(symbols)]
+    return out
+
+
 @dataclass
-class Model:
-    counts: tuple[Counter, Counter]
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
-    usable: bool = True
+class _Level:
+    """Counts of one order: grams with their counts, and of each history the sum and the number of its grams."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    histories: np.ndarray = field(init=False)
+    sums: np.ndarray = field(init=False)
+    kinds: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.pool = self.counts[0] + self.counts[1]
-        self.sums = [self._sums(c) for c in (*self.counts, self.pool)]
-        self.kinds = len({g for g in self.pool if len(g) == 1})
-        self.memo: dict[str, float] = {}
-        self.seen: dict[tuple, float] = {}
+        self.histories, start = np.unique(self.keys >> 8, return_index=True)
+        self.sums = np.add.reduceat(self.counts, start) if len(start) else self.counts
+        self.kinds = np.diff(np.append(start, len(self.keys)))
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, (table[at] == keys if len(table) else np.zeros(len(keys), bool))
+
+
+class KneserNey:
+    """Both classes' models from (class, gram, count) of the highest order. symbols: the code points that have a symbol, sorted."""
+
+    def __init__(self, symbols: np.ndarray, tables: tuple[tuple[np.ndarray, np.ndarray], ...]) -> None:
+        self.symbols, self.tables = symbols, tables
+        self.alphabet = np.full(0x110000, RARE, np.uint8)
+        self.alphabet[symbols] = np.arange(2, 2 + len(symbols), dtype=np.uint8)
+        both = np.union1d(tables[0][0], tables[1][0])
+        self.levels = [self._ladder(*tables[0]), self._ladder(*tables[1]), self._ladder(both, np.ones(len(both), np.int64))]
+        self.memo = (np.zeros(0, np.int64), np.zeros(0))
 
     @staticmethod
-    def _sums(counts: Counter) -> tuple[dict, dict]:
-        total, kinds = Counter(), Counter()
-        for gram, n in counts.items():
-            total[gram[:-1]] += n
-            kinds[gram[:-1]] += 1
-        return dict(total), dict(kinds)
-
-    def _p(self, side: int, history: str, x: str) -> float:
-        """Probability of x after history; side 2 is the shared model."""
-        if side < 2 and len(history) < OWN_ORDER:
-            side = 2
-        key = (side, history, x)
-        p = self.seen.get(key)
-        if p is None:
-            total, kinds = self.sums[side]
-            counts = self.pool if side == 2 else self.counts[side]
-            if not history:
-                p = (counts.get(x, 0) + 0.5) / (total.get("", 0) + 0.5 * (self.kinds + 1))
+    def _ladder(keys: np.ndarray, counts: np.ndarray) -> dict[int, _Level]:
+        out = {ORDER: _Level(keys, counts)}
+        for j in range(ORDER - 1, 0, -1):
+            # distinct grams of the order above that end in a gram: its distinct left characters
+            keys, counts = np.unique(keys & ((1 << 8 * j) - 1), return_counts=True)
+            out[j] = _Level(keys, counts)
+        return out
+
+    def probability(self, side: int, order: int, grams: np.ndarray) -> np.ndarray:
+        """Of each gram's last symbol after the others, by the model of a class (side 2: the shared one)."""
+        if order == 0:
+            return np.full(len(grams), 1.0 / (len(self.symbols) + 2))
+        level = self.levels[2 if order < OWN_ORDER else side][order]
+        lower = self.probability(side, order - 1, grams & ((1 << 8 * (order - 1)) - 1))
+        if not len(level.keys):
+            return lower
+        at, known = _found(level.keys, grams)
+        count = np.where(known, level.counts[at], 0)
+        h, seen = _found(level.histories, grams >> 8)
+        return np.where(seen, (np.maximum(count - DISCOUNT, 0.0) + DISCOUNT * level.kinds[h] * lower) / level.sums[h], lower)
+
+    def ratios(self, grams: np.ndarray) -> np.ndarray:
+        """Toxic less ordinary log-probability; distinct grams are computed once and kept in a memo of bounded size."""
+        distinct, back = np.unique(grams, return_inverse=True)
+        at, known = _found(self.memo[0], distinct)
+        values = np.where(known, self.memo[1][at], 0.0) if len(self.memo[0]) else np.zeros(len(distinct))
+        new = distinct[~known]
+        if len(new):
+            values[~known] = fresh = np.log(self.probability(1, ORDER, new)) - np.log(self.probability(0, ORDER, new))
+            if len(self.memo[0]) + len(new) > MEMO:
+                self.memo = (new, fresh)
             else:
-                p, n = self._p(side, history[1:], x), total.get(history)
-                if n:
-                    p = (max(counts.get(history + x, 0) - DISCOUNT, 0.0) + DISCOUNT * kinds[history] * p) / n
-            if len(self.seen) > MEMO:
-                self.seen.clear()
-            self.seen[key] = p
-        return p
-
-    def ratio(self, word: str) -> float:
-        value = self.memo.get(word)
-        if value is None:
-            text, value = f"^{_EDGE.sub('', word)}$", 0.0
-            for i in range(1, len(text)):
-                history = text[max(0, i - ORDER + 1) : i]
-                value += math.log(self._p(1, history, text[i]) / self._p(0, history, text[i]))
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[word] = value
-        return value
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Length-normalised log ratios: whole text, best window, best word."""
-        found = _WORDS.findall((text or "").translate(_LOWER))
-        if not found:
-            return 0.0, 0.0, 0.0
-        ratios = np.array([self.ratio(w) for w in found])
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        width = min(WINDOW, len(ratios))
-        return float(ratios.mean()), float((sums[width:] - sums[:-width]).max()) / width, float(ratios.max())
-
-    def score(self, text: str | None) -> float:
-        if not self.usable:
-            return 0.0
-        z = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], self.features(text), strict=True))
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
-
-
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+                keys = np.concatenate([self.memo[0], new])
+                order = np.argsort(keys, kind="stable")
+                self.memo = (keys[order], np.concatenate([self.memo[1], fresh])[order])
+        return values[back]
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text the largest difference of log-likelihoods over a passage's length."""
+        out, points, of, held = np.full(len(texts), -np.inf), [], [], 0
+        for i, text in enumerate(texts):
+            for piece in _slices(text):
+                points.append(_points(piece))
+                of.append(i)
+                held += len(points[-1])
+                if held > STRETCH:
+                    self._judge(points, of, out)
+                    points, of, held = [], [], 0
+        self._judge(points, of, out)
+        return np.where(np.isfinite(out), out, 0.0)
+
+    def _judge(self, points: list[np.ndarray], of: list[int], out: np.ndarray) -> None:
+        grams = [_grams(self.alphabet[p]) for p in points]
+        if not sum(map(len, grams)):
+            return
+        ratios = self.ratios(np.concatenate(grams))
+        at = 0
+        for g, i in zip(grams, of, strict=True):
+            if len(g):
+                sums = np.concatenate([[0.0], np.cumsum(ratios[at : at + len(g)])])
+                width = min(PASSAGE, len(g))
+                out[i] = max(out[i], float((sums[width:] - sums[:-width]).max()) / width)
+                at += len(g)
+
+
+@dataclass
+class Model:
+    """Bounded by the training sample: symbols, the two classes' highest-order counts, and the curve (intercept, slope); None: nothing to learn."""
+
+    symbols: np.ndarray
+    tables: tuple[tuple[np.ndarray, np.ndarray], ...]
+    curve: tuple[float, float] | None = None
+
+
+def _count(values: np.ndarray, side: np.ndarray, name: str) -> pd.DataFrame:
+    """Distinct values with their numbers, by class."""
+    parts = [(s, *np.unique(values[side == s], return_counts=True)) for s in (0, 1)]
+    return pd.concat([pd.DataFrame({"toxic": s, name: v.astype(np.int64), "n": n.astype(np.int64)}) for s, v, n in parts])
+
+
+def _stretches(batches: Iterator[pd.DataFrame], symbols_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """symbols_of each text, some texts at a time, with their class."""
+    parts, sides, held = [], [], 0
     for b in batches:
-        for word, side, n in zip(b["word"], b["toxic"], b["n"], strict=True):
-            text = f"^{_EDGE.sub('', word)}$"
-            for i in range(1, len(text)):
-                for k in range(min(i + 1, ORDER)):
-                    counts[side, text[i - k : i + 1]] += n
-    if counts:
-        yield pd.DataFrame([(s, g, n) for (s, g), n in counts.items()], columns=["toxic", "gram", "n"])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton fit with both classes weighing the same; features are scaled inside."""
-    scale = x.std(axis=0) + 1e-9
-    a = np.column_stack([np.ones(len(x)), x / scale])
-    w, weight = np.zeros(a.shape[1]), np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    penalty = np.diag([0.0] + [ridge * len(y)] * x.shape[1])
-    for _ in range(30):
+        for side, text in zip(b["toxic"], b["text"], strict=True):
+            parts.append(symbols_of(_points(text or "")))
+            sides.append(np.full(len(parts[-1]), side, np.int8))
+            held += len(parts[-1])
+            if held > STRETCH:
+                yield np.concatenate(parts), np.concatenate(sides)
+                parts, sides, held = [], [], 0
+    if held:
+        yield np.concatenate(parts), np.concatenate(sides)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Newton fit of one curve with both classes weighing the same; the slope isn't negative, so more evidence never lowers a score."""
+    middle, scale = x.mean(), x.std() + 1e-9
+    a = np.column_stack([np.ones(len(x)), (x - middle) / scale])
+    w, weight = np.zeros(2), np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    penalty = np.diag([0.0, ridge])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + penalty + 1e-9 * np.eye(len(w)), a.T @ (weight * (y - p)) - penalty @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + penalty + 1e-12 * np.eye(2), a.T @ (weight * (y - p)) - penalty @ w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
             break
-    return (float(w[0]), *(float(v) for v in w[1:] / scale))
+    slope = max(0.0, float(w[1]) / scale)
+    return float(w[0]) - slope * float(middle), slope
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """labels: doc_id, toxic; only its rows are learnt from. At most per_class rows of a class are used, four fifths for the counts."""
-    ranked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    ranked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
     picked = [ranked.where(F.col("toxic") == side).orderBy("h", "doc_id").limit(per_class) for side in (0, 1)]
     sample = picked[0].unionByName(picked[1]).select("doc_id", "toxic", fold(F.col("doc_id"), 5, "fit").alias("part"))
     # at most 2 * per_class short rows, hence the broadcast
-    used = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "part", "text")
-    used = stored(used, "labelled")
-    count = used.where("part > 0").select("toxic", F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n"))
-    grams = count.mapInPandas(_grams, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
-    counts = (Counter(), Counter())
-    for side, gram, n in grams.toPandas().itertuples(index=False):
-        counts[side][gram] = int(n)
-    model = Model(counts)
-    if not counts[0] or not counts[1]:
-        model.usable = False
+    used = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "part", "text"), "labelled")
+    counted = used.where("part > 0").select("toxic", "text")
+
+    def characters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for values, side in _stretches(batches, lambda p: p):
+            yield _count(values, side, "value")
+
+    per_point = counted.mapInPandas(characters, "toxic int, value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    symbols = np.sort(np.array([r["value"] for r in per_point.orderBy(F.desc("n"), "value").limit(SYMBOLS - 2).collect()], np.int64))
+    lookup = np.full(0x110000, RARE, np.uint8)
+    lookup[symbols] = np.arange(2, 2 + len(symbols), dtype=np.uint8)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for values, side in _stretches(batches, lambda p: _grams(lookup[p])):
+            yield _count(values, side, "value")
+
+    per_gram = counted.mapInPandas(grams, "toxic int, value long, n long").groupBy("toxic", "value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
+    tables = tuple((g["value"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for g in (per_gram[per_gram["toxic"] == side] for side in (0, 1)))
+    model = Model(symbols, tables)
+    if not len(tables[0][0]) or not len(tables[1][0]):
         return model
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = KneserNey(symbols, tables)
         for b in batches:
-            yield pd.concat([b[["toxic"]].reset_index(drop=True), pd.DataFrame([model.features(t) for t in b["text"]], columns=["a", "b", "c"])], axis=1)
+            yield pd.DataFrame({"toxic": b["toxic"], "x": own.evidence(list(b["text"]))})
 
-    held = used.where("part = 0").mapInPandas(features, "toxic int, a double, b double, c double").toPandas()
+    held = used.where("part = 0").mapInPandas(evidence, "toxic int, x double").toPandas()
     if held["toxic"].nunique() < 2:
-        held = used.mapInPandas(features, "toxic int, a double, b double, c double").toPandas()
-    model.weights = _logistic(held[["a", "b", "c"]].to_numpy(float), held["toxic"].to_numpy(float))
-    model.memo, model.seen = {}, {}
+        held = used.mapInPandas(evidence, "toxic int, x double").toPandas()
+    held = held.sort_values(["toxic", "x"])
+    model.curve = _logistic(held["x"].to_numpy(float), held["toxic"].to_numpy(float))
     return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Each row with score and predicted, other columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.usable))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Model(*shared.value)
+        model = shared.value
+        own = KneserNey(model.symbols, model.tables) if model.curve else None
         for b in batches:
-            yield pd.Series([own.score(t) for t in b], dtype=float)
+            if own is None:
+                yield pd.Series(np.zeros(len(b)))
+            else:
+                z = model.curve[0] + model.curve[1] * own.evidence(list(b))
+                yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(z, -500.0, 500.0))))
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -184,4 +271,3 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 def training_labels(labels: DataFrame) -> DataFrame:
     """The rows whose crc32 fold isn't the held-out one."""
     return labels.where(fold(F.col("doc_id"), 3) != 1)
-
