@@ -5,6 +5,9 @@ Python stages that need to ask the whole corpus about what they hold work in thr
 answers. All between the steps are arrays packed into binary columns, so a shuffle moves few rows. A chunk names a key
 once however often it holds it, so a key of a third of all rows reaches its bucket once for each chunk.
 
+A chunk is one row: the ids and texts of neighbouring rows up to a size in bytes, whatever they hold, as a compressed Arrow stream. It is cut
+from the rows as they are read, so neither a hot id nor a hot text makes a large one, and ids stay exact beside nulls.
+
 A key is its bucket, taken from the upper bits, with its lower 40 bits.
 """
 
@@ -14,9 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions, stored
 
 
 def frame(rows: list[tuple], columns: list[str], whole: tuple[str, ...] = ("doc_id",)) -> pd.DataFrame:
@@ -28,12 +35,98 @@ def frame(rows: list[tuple], columns: list[str], whole: tuple[str, ...] = ("doc_
 LOW = np.uint64((1 << 40) - 1)
 
 
-def in_chunks(docs: DataFrame, chunks: int, *columns: str) -> DataFrame:
-    """doc_id, text (null: empty) and further columns, dealt by chunk. Used in several places of one plan, the exchange is made once."""
-    text = F.coalesce("text", F.lit("")).alias("text")
-    chunk = F.pmod(F.xxhash64("doc_id", "n_", F.lit(17)), F.lit(chunks)).cast("int").alias("chunk")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.length("text").alias("n_"), *columns)
-    return named.select(chunk, "doc_id", "text", *columns).repartition("chunk")
+def packed(docs: DataFrame, *columns: str, mb: int = 24) -> DataFrame:
+    """chunk, bytes, blob: rows of docs (doc_id, text with null as empty, further columns) in chunks of about mb MB of text, less where
+    that would leave partitions without any. A table of its own, so that a task that runs anew finds the same chunks."""
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    most = max(1 << 18, min(mb << 20, total // partitions(spark)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def blob() -> pa.RecordBatch:
+            nonlocal number, held, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            row = {"chunk": pa.array([(task << 24) + number], pa.int64()), "bytes": pa.array([size], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+            number, held, size = number + 1, [], 0
+            return pa.RecordBatch.from_pydict(row)
+
+        for batch in batches:
+            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            first = 0
+            for i, n in enumerate(lengths.tolist()):
+                if size and size + n > most:
+                    if i > first:
+                        held.append(batch.slice(first, i - first))
+                    first = i
+                    yield blob()
+                size += n
+            if first < len(lengths):
+                held.append(batch.slice(first))
+        if held:
+            yield blob()
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *columns)
+    return stored(named.mapInArrow(run, "chunk long, bytes long, blob binary"), "chunks")
+
+
+def bucket_count(chunks: DataFrame, mb: int = 24) -> int:
+    """Buckets for a census: one for mb MB of text, at least one for each shuffle partition."""
+    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    return max(partitions(chunks.sparkSession), -(-total // (mb << 20)))
+
+
+class Chunk:
+    """The rows of a blob. ids: None for null; data, sizes: the texts' UTF-8 bytes one after another."""
+
+    def __init__(self, blob: bytes) -> None:
+        self.table = pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
+        self.ids: list[int | None] = self.table.column("doc_id").to_pylist()
+        text = pc.cast(self.table.column("text"), pa.large_binary())
+        parts, sizes = [], []
+        for piece in text.chunks:
+            at = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1]
+            parts.append(np.frombuffer(piece.buffers()[2] or b"", np.uint8)[at[0] : at[-1]])
+            sizes.append(np.diff(at))
+        self.data = np.concatenate([np.zeros(0, np.uint8), *parts])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def texts(self) -> Iterator[bytes]:
+        ends = np.cumsum(self.sizes)
+        for a, b in zip((ends - self.sizes).tolist(), ends.tolist(), strict=True):
+            yield self.data[a:b].tobytes()
+
+
+def chunks_of(pdf: pd.DataFrame) -> Iterator[tuple[int, Chunk]]:
+    for number, blob in zip(pdf["chunk"], pdf["blob"], strict=True):
+        yield int(number), Chunk(blob)
+
+
+def per_chunk(chunks: DataFrame, run, schema: str) -> DataFrame:
+    """run(number, chunk) -> frame of the schema, for each chunk."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for number, chunk in chunks_of(b):
+                yield run(number, chunk)
+
+    return chunks.select("chunk", "blob").mapInPandas(each, schema)
+
+
+def answered(chunks: DataFrame, replies: DataFrame, run, schema: str) -> DataFrame:
+    """run(number, chunk, its rows of replies) -> frame of the schema, for each chunk."""
+
+    def each(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+        found = [run(number, chunk, reply) for number, chunk in chunks_of(pdf)]
+        # replies come for chunks alone, so there is one
+        return found[0] if found else reply.iloc[:0]
+
+    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(each, schema)
 
 
 def squeeze(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -72,7 +165,7 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, f"<u{len(blob) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-CENSUS = "chunk int, bucket int, keys binary, counts binary"
+CENSUS = "chunk long, bucket int, keys binary, counts binary"
 
 
 def census_rows(chunk: int, squeezed: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
@@ -84,9 +177,17 @@ def census_rows(chunk: int, squeezed: np.ndarray, counts: np.ndarray) -> pd.Data
     return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "counts"])
 
 
+def wide_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Rows of CENSUS with whole 64-bit keys, in buckets below 0: for keys of which a false match would lose something."""
+    of = (keys % np.uint64(buckets)).astype(np.int64)
+    out = [(chunk, -1 - int(b), keys[of == b].astype("<u8").tobytes(), pack_counts(counts[of == b])) for b in np.unique(of)]
+    return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "counts"])
+
+
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, those of its keys that all chunks together hold at least twice, with their numbers."""
-    keys = [unpack40(k) for k in pdf["keys"]]
+    wide = pdf["bucket"].iloc[0] < 0
+    keys = [np.frombuffer(k, "<u8") if wide else unpack40(k) for k in pdf["keys"]]
     counts = [unpack_counts(c, len(k)) if c else np.ones(len(k), np.int64) for k, c in zip(keys, pdf["counts"], strict=True)]
     every, tally = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
@@ -101,7 +202,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         hit = known[at] == own
         if hit.any():
-            out.append((chunk, bucket, pack40(own[hit]), pack_counts(total[at[hit]])))
+            out.append((chunk, bucket, own[hit].tobytes() if wide else pack40(own[hit]), pack_counts(total[at[hit]])))
     return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "counts"])
 
 
@@ -110,12 +211,14 @@ def repeated_keys(census: DataFrame) -> DataFrame:
     return census.groupBy("bucket").applyInPandas(_merge, CENSUS)
 
 
-def answers(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted squeezed keys, counts) of one chunk's answers."""
+def answers(pdf: pd.DataFrame, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of one chunk's answers: squeezed keys, or the wide ones."""
+    pdf = pdf[(pdf["bucket"] < 0) == wide]
     if not len(pdf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([unpack40(k) | (np.uint64(b) << np.uint64(40)) for b, k in zip(pdf["bucket"], pdf["keys"], strict=True)])
-    counts = np.concatenate([unpack_counts(c, len(k) // 5) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
+    size = 8 if wide else 5
+    keys = np.concatenate([np.frombuffer(k, "<u8") if wide else unpack40(k) | (np.uint64(b) << np.uint64(40)) for b, k in zip(pdf["bucket"], pdf["keys"], strict=True)])
+    counts = np.concatenate([unpack_counts(c, len(k) // size) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
     order = np.argsort(keys, kind="stable")
     return keys[order], counts[order]
 

@@ -1,15 +1,15 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, each a join-free aggregation."""
+"""Connected components of an edge table by alternating large-star and small-star steps, each an aggregation and a join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours to the smallest of them. Windows hold no list, so a hub's neighbours may spill."""
+    """Links each node's neighbours to the smallest of them. The join streams a hub's neighbours past its one smallest, so none are held as a list."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = both.join(low, "a")
@@ -21,15 +21,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (the smallest node reachable) for each node of edges a, b (long)."""
+    """node, component (the smallest node reachable) for each node of edges a, b (long). Reads one stored table; the rounds before it are deleted."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
-        now = stored(_star(_star(now, True), False), name)
+        before, now = now, stored(_star(_star(now, True), False), name)
+        discard(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-

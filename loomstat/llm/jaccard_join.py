@@ -22,6 +22,7 @@ Columns besides doc_id and text aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CENSUS, answers, census_rows, frame, in_chunks, looked_up, pack_counts, repeated_keys, squeeze, unpack_counts
-from .common import chunk_count, partitions, stored
+from .chunks import CENSUS, Chunk, answered, answers, bucket_count, census_rows, frame, looked_up, pack_counts, packed, per_chunk, repeated_keys, squeeze, unpack_counts, wide_rows
+from .common import discard, stored, unused
 from .components import components
 
 WIDTH, PERCENT, LONGEST = 5, 75, 32
@@ -49,8 +50,8 @@ class Shingler:
     def __init__(self, width: int = WIDTH) -> None:
         self.width, self.words = width, {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        parts, known = text.encode("utf-8", "surrogatepass").translate(_LOWER).split(), self.words
+    def __call__(self, text: bytes) -> np.ndarray:
+        parts, known = text.translate(_LOWER).split(), self.words
         if not parts:
             return np.zeros(0, np.uint64)
         if len(known) > 1_000_000:
@@ -76,30 +77,28 @@ def _signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
 
-def _sets(pdf: pd.DataFrame, width: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    shingle = Shingler(width)
-    for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-        yield (None if pd.isna(doc_id) else int(doc_id)), shingle(text)
-
-
 def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, sig for each row; tokens and frequencies too for one row of a set and chunk that may link with another set."""
-    n_chunks = chunk_count(docs)
-    dealt, buckets = in_chunks(docs, n_chunks), max(n_chunks, partitions(docs.sparkSession))
+    chunks = packed(docs)
+    buckets = bucket_count(chunks)
 
-    def census(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [s for _, s in _sets(pdf, width) if len(s)]
-        keys = np.concatenate([*found, np.array([_signature(s) for s in found], np.uint64)]) if found else np.zeros(0, np.uint64)
-        return census_rows(int(pdf["chunk"].iloc[0]), *np.unique(squeeze(keys, buckets), return_counts=True))
+    def census(number: int, chunk: Chunk) -> pd.DataFrame:
+        found = [s for s in map(Shingler(width), chunk.texts()) if len(s)]
+        if not found:
+            return census_rows(number, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        shingles = census_rows(number, *np.unique(squeeze(np.concatenate(found), buckets), return_counts=True))
+        # a false match of signatures could make a set look like a mere copy, hence all 64 bits
+        return pd.concat([shingles, wide_rows(number, *np.unique(np.array([_signature(s) for s in found], np.uint64), return_counts=True), buckets)])
 
-    replies = repeated_keys(dealt.groupBy("chunk").applyInPandas(census, CENSUS))
+    replies = repeated_keys(per_chunk(chunks, census, CENSUS))
 
-    def judge(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=["doc_id", "n_shingles", "sig", "tokens", "df"])
+    def judge(_: int, chunk: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
         table, counts = answers(reply)
-        out, seen = [], set()
-        for doc_id, s in _sets(pdf, width):
+        signatures, numbers = answers(reply, wide=True)
+        copies = dict(zip(signatures.tolist(), numbers.tolist(), strict=True))
+        out, seen, shingle = [], set(), Shingler(width)
+        for doc_id, text in zip(chunk.ids, chunk.texts(), strict=True):
+            s = shingle(text)
             n = len(s)
             if not n:
                 out.append((doc_id, 0, None, None, None))
@@ -108,14 +107,15 @@ def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             row = (doc_id, n, np.uint64(sig).astype(np.int64).item(), None, None)
             if sig not in seen:
                 seen.add(sig)
-                copies = int(looked_up(squeeze(np.array([sig], np.uint64), buckets), table, counts, 1)[0])
                 df = looked_up(squeeze(s, buckets), table, counts, 1)
-                if (df > copies).sum() >= needed(n, percent):
+                if (df > copies.get(sig, 1)).sum() >= needed(n, percent):
                     row = (*row[:3], s.tobytes(), pack_counts(df))
             out.append(row)
         return frame(out, ["doc_id", "n_shingles", "sig", "tokens", "df"], ("doc_id", "n_shingles", "sig"))
 
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(judge, "doc_id long, n_shingles long, sig long, tokens binary, df binary")
+    judged = stored(answered(chunks, replies, judge, "doc_id long, n_shingles long, sig long, tokens binary, df binary"), "sets")
+    discard(chunks)
+    return judged
 
 
 def chosen_length(df: np.ndarray, n: int, percent: int = PERCENT, longest: int = LONGEST) -> int:
@@ -198,26 +198,29 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
     """Pairs of sets of different components that share as many prefix tokens as they must; only_best: for each set outside the largest
     component of a posting list and each component it meets, the partner with most.
 
-    A posting list that holds one component is left out. From the others, each set outside the largest component meets the list in
-    blocks, one row for each block, so rows grow with the sets outside, not with pairs; a set's blocks are then counted together."""
+    A posting list that holds one component is left out. The others are parted by size class, a factor of 100 / percent wide, as
+    sets more than a class apart can't link, and each part is cut by a hash into blocks of about LIST sets, one row each. Each set outside the largest
+    component meets the blocks of its own and the two neighbouring classes; the join's key holds the block, so that a hot token's
+    blocks are dealt over many tasks. A set's blocks are then counted together."""
     # components are ordered by size; of a pair, the set of the lower component is outside the largest one in every list that holds both
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("of"))
     graded = roots.join(sizes, "root")
-    placed = stored(posts.join(graded, "sig", "left").withColumn("root", F.coalesce("root", "sig")).withColumn("of", F.coalesce("of", F.lit(1))), "placed")
-    parts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.max("of").alias("of"))
+    # a hair more than the factor, so that rounding never parts sizes that may link by two classes
+    grade = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent * (1 + 1e-9)))).cast("int")
+    joined = posts.join(graded, "sig", "left").withColumn("root", F.coalesce("root", "sig")).withColumn("of", F.coalesce("of", F.lit(1)))
+    parts = joined.groupBy("token", "root").agg(F.max("of").alias("of"))
     major = parts.groupBy("token").agg(F.max_by("root", F.struct("of", "root")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
-    lists = placed.join(major, "token")
-    # lists are cut by a hash into blocks of about LIST sets
-    cut = parts.groupBy("token").agg(F.ceil(F.sum("c") / LIST).cast("int").alias("blocks"))
+    lists = stored(joined.join(major, "token").withColumn("grade", grade), "lists")
+    cut = lists.groupBy("token", "grade").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"))
     member = F.struct("sig", F.col("n").cast("int").alias("n"), F.col("over").cast("int").alias("over"), F.col("l").cast("smallint").alias("l"), "root", "of")
-    blocks = lists.join(cut, "token").groupBy("token", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block")).agg(F.collect_list(member).alias("members"))
-    minor = lists.where(F.col("root") != F.col("major")).select("token", F.col("sig").alias("z"), F.col("n").alias("zn"), F.col("over").alias("zover"), F.col("l").alias("zl"), F.col("root").alias("zroot"), F.col("of").alias("zof"))
-    # blocks are opened only as arrays: per block the members a set may link with, as binary columns
-    packed = blocks.select("token", *[F.col(f"members.{c}").alias(c) for c in ("sig", "n", "over", "l", "root", "of")])
-    met = minor.join(packed, "token")
+    blocks = lists.join(cut, ["token", "grade"]).groupBy("token", "grade", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(member).alias("members"))
+    packed_blocks = blocks.select("token", "grade", "block", *[F.col(f"members.{c}").alias(c) for c in ("sig", "n", "over", "l", "root", "of")])
+    minor = lists.where(F.col("root") != F.col("major")).select("token", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), *[F.col(c).alias(f"z{c}") for c in ("sig", "n", "over", "l", "root", "of")])
+    reach = minor.join(cut, ["token", "grade"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = reach.join(packed_blocks, ["token", "grade", "block"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, zn, zl, zroot, zof = (int(pdf[c].iloc[0]) for c in ("z", "zn", "zl", "zroot", "zof"))
+        z, zn, zl, zroot, zof = (int(pdf[c].iloc[0]) for c in ("zsig", "zn", "zl", "zroot", "zof"))
         sig, n, over, l, root, of = (np.concatenate(pdf[c].tolist()).astype(np.int64) for c in ("sig", "n", "over", "l", "root", "of"))
         zover = np.repeat(pdf["zover"].to_numpy(np.int64), [len(x) for x in pdf["sig"]])
         least = np.minimum(l, zl)
@@ -232,34 +235,46 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
             found = found[order][np.unique(root[order], return_index=True)[1]]
         return pd.DataFrame({"a": np.minimum(found, z), "b": np.maximum(found, z)})
 
-    return met.groupBy("z").applyInPandas(count, "a long, b long").distinct()
+    pairs = stored(met.groupBy("zsig").applyInPandas(count, "a long, b long").distinct(), "pairs")
+    discard(lists)
+    return pairs
 
 
 def similarity_classes(sets: DataFrame, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """sig, root: the component of each set that links with another. sets: sig (distinct), n, tokens, df."""
     posts = stored(_postings(sets, percent, longest), "postings")
-    links = stored(_verified(_hub_pairs(posts, percent), sets, percent), "links")
+    links = [stored(_verified(_hub_pairs(posts, percent), sets, percent), "links")]
+    every = lambda: reduce(DataFrame.unionByName, links)
     for only_best in (True, False):
-        roots = stored(components(links).toDF("sig", "root"), "roots")
-        pairs = stored(_crossing_pairs(posts, roots, percent, only_best), "pairs")
-        links = links.unionByName(stored(_verified(pairs, sets, percent), "links"))
-    return components(links).toDF("sig", "root")
+        roots = components(every()).toDF("sig", "root")
+        named = stored(roots, "roots")
+        pairs = _crossing_pairs(posts, named, percent, only_best)
+        links.append(stored(_verified(pairs, sets, percent), "links"))
+        discard(pairs, named)
+    discard(posts)
+    out = stored(components(every()).toDF("sig", "root"), "roots")
+    discard(*links)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
-    judged = stored(_linking_sets(docs, width, percent), "sets")
+    judged = _linking_sets(docs, width, percent)
     sets = stored(judged.where("tokens IS NOT NULL").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("df").alias("df")), "distinct-sets")
+    rows = stored(judged.select("doc_id", "n_shingles", "sig"), "rows")
+    discard(judged)
     roots = similarity_classes(sets, percent, longest)
-    least = judged.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    discard(sets)
+    least = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"))
     least = least.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = least.join(named, "root").select(F.col("sig").alias("s"), "component_id")
-    out = judged.select("doc_id", "n_shingles", "sig").join(classes, F.col("sig") == F.col("s"), "left")
+    out = rows.join(classes, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of docs whose id is their component's, all columns as they are; of rows with that id all stay."""
-    kept = jaccard_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    name = unused("kept_id", docs)
+    kept = jaccard_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
