@@ -23,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .chunks import CENSUS, answers, by_bucket, census_rows, frame, in_chunks, looked_up, repeated_keys, squeeze
-from .common import chunk_count, partitions
+from .chunks import CENSUS, Chunk, answered, answers, bucket_count, by_bucket, census_rows, frame, looked_up, packed, per_chunk, repeated_keys, squeeze
+from .common import stored
 
 LENGTH, GRAM, LARGEST, BATCH, NULL_ID = 50, 28, 1_000_000, 1 << 19, 2**63 - 1
 _B = 0x9E3779B97F4A7C15
@@ -35,82 +36,89 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_B, n, 2**64))
 
 
-def rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of size bytes: doubling joins halves, so a hash costs log2(size) steps."""
-    single = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    out, have, power, span = None, 0, single, 1
+_SINGLE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size the hash of every run of so many bytes. Doubling joins halves, so all sizes together cost log2 of the largest in steps."""
+    outs: list[tuple[np.ndarray | None, int]] = [(None, 0) for _ in sizes]
+    power, span = _SINGLE[data], 1
     while True:
-        if size & span:
-            n = len(data) - have - span + 1
-            out = power[:n].copy() if out is None else out[:n] * _power(span) + power[have : have + n]
-            have += span
-        if span * 2 > size:
+        for i, size in enumerate(sizes):
+            if size & span:
+                out, have = outs[i]
+                n = len(data) - have - span + 1
+                outs[i] = (power[:n].copy() if out is None else out[:n] * _power(span) + power[have : have + n], have + span)
+        if span * 2 > max(sizes):
             break
         n = len(power) - span
         power = power[:n] * _power(span) + power[span : span + n]
         span *= 2
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
+    for out, _ in outs:
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return [out for out, _ in outs]
+
+
+OFFSET = 6  # bits of a hash that give way to a place within its window
 
 
 def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each window of width hashes the place of its leftmost smallest one."""
-    value, place, span = hashes, np.arange(len(hashes)), 1
-    parts = []
-    have = 0
+    """For each window of width hashes the place of its leftmost smallest one, by the hashes' upper bits."""
+    if width > 1 << OFFSET:
+        raise ValueError(f"a window holds {1 << OFFSET} hashes at most")
+    value, span, parts, have = hashes >> np.uint64(OFFSET) << np.uint64(OFFSET), 1, [], 0
     while True:
         if width & span:
-            parts.append((have, value, place))
+            parts.append((have, value))
             have += span
         if span * 2 > width:
             break
-        n = len(value) - span
-        left = value[:n] <= value[span : span + n]
-        value, place = np.where(left, value[:n], value[span : span + n]), np.where(left, place[:n], place[span : span + n])
+        value = np.minimum(value[: len(value) - span], value[span:] + np.uint64(span))
         span *= 2
     n = len(hashes) - width + 1
-    _, value, place = parts[0]
-    value, place = value[:n], place[:n]
-    for at, v, p in parts[1:]:
-        left = value <= v[at : at + n]
-        value, place = np.where(left, value, v[at : at + n]), np.where(left, place, p[at : at + n])
-    return place
+    best = parts[0][1][:n]
+    for at, v in parts[1:]:
+        best = np.minimum(best, v[at : at + n] + np.uint64(at))
+    return np.arange(n) + (best & np.uint64((1 << OFFSET) - 1)).astype(np.int64)
 
 
 class Segments:
-    """The segments of many texts: start, number of windows, minimizer hash, content hash, text."""
+    """The segments of many texts: start, number of windows, minimizer hash, text, and content hash where it is asked for.
 
-    def __init__(self, texts: list[bytes], length: int, gram: int) -> None:
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes)
+    data, sizes: the texts' bytes one after another."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int, gram: int, contents: bool = True) -> None:
+        self.data, ends = data, np.cumsum(sizes)
         self.begins, self.length = ends - sizes, length
         parts, first = [], 0
         # texts in stretches of about BATCH bytes: the hashes of a stretch take many times its size
-        while first < len(texts):
+        while first < len(sizes):
             last = max(first + 1, int(np.searchsorted(ends, self.begins[first] + BATCH, side="right")))
-            parts.append(self._stretch(first, last, sizes[first:last], length, gram))
+            parts.append(self._stretch(first, last, sizes[first:last], length, gram, contents))
             first = last
         kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
         self.start, self.windows, self.text, self.anchor, self.content = (np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
 
-    def _stretch(self, first: int, last: int, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    def _stretch(self, first: int, last: int, sizes: np.ndarray, length: int, gram: int, contents: bool) -> tuple[np.ndarray, ...]:
         begin = self.begins[first]
         data, ends = self.data[begin : begin + sizes.sum()], np.cumsum(sizes)
         if len(data) < length:
             empty = np.zeros(0, np.int64)
             return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-        grams = rolling(data, gram)
+        grams, *wide = rolling(data, gram, length) if contents else rolling(data, gram)
         place = minimizers(grams, length - gram + 1)
-        of = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: len(place)]
         valid = np.arange(len(place)) + length <= ends[of]
-        new = valid & np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1]) | ~valid[:-1]])
+        new = valid.copy()
+        new[1:] &= (place[1:] != place[:-1]) | (of[1:] != of[:-1]) | ~valid[:-1]
         start, number = np.flatnonzero(new), np.cumsum(new)
         windows = np.bincount(number[valid], minlength=len(start) + 1)[1:]
-        wide = rolling(data, length)
-        content = (wide[start] * np.uint64(_B) + wide[start + windows - 1]) * np.uint64(_B) + windows.astype(np.uint64)
-        return start + begin, windows, of[start] + first, grams[place[start]], content
+        content = np.zeros(0, np.uint64)
+        if contents:
+            content = (wide[0][start] * np.uint64(_B) + wide[0][start + windows - 1]) * np.uint64(_B) + windows.astype(np.uint64)
+        return start + begin, windows, of[start].astype(np.int64) + first, grams[place[start]], content
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.start[i] : self.start[i] + self.windows[i] + self.length - 1].tobytes()
@@ -125,22 +133,27 @@ class RunIndex:
         ends = np.cumsum(sizes)
         flat[ends - 1] = 0
         self.text, self.length, n = flat, length, len(flat)
-        rank, span, short = flat.copy(), 1, None
+        # the first rank looks at up to 7 symbols at once, as 9 bits hold one
+        span = min(7, length)
+        rank = np.zeros(n, np.int64)
+        for k in range(span):
+            rank = rank << 9
+            rank[: n - k] |= flat[k:] + 1 if k else flat + 1
+        half, short, later = span, None, None
         while True:
-            later = np.zeros(n, np.int64)
-            later[: max(0, n - span)] = rank[span:] + 1
-            key = rank * (n + 258) + later
-            order = np.argsort(key, kind="stable")
-            changed = np.concatenate([[0], key[order][1:] != key[order][:-1]]).cumsum()
+            order = np.argsort(rank)
+            placed = rank[order]
+            changed = np.concatenate([[0], placed[1:] != placed[:-1]]).cumsum()
             rank = np.empty(n, np.int64)
             rank[order] = changed
-            span *= 2
             if span <= length:
                 half, short = span, rank
             if changed[-1] == n - 1 or span > 2 * n:
                 break
-        if short is None:
-            half, short = 1, flat
+            later = np.zeros(n, np.int64)
+            later[: max(0, n - span)] = rank[span:] + 1
+            rank = rank * (n + 1) + later
+            span *= 2
         suffixes = order
         # suffixes that agree in length symbols: two overlapping stretches of `half` agree
         first = short[suffixes]
@@ -213,17 +226,8 @@ class RunIndex:
         return out
 
 
-def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return np.array([NULL_ID if pd.isna(x) else int(x) for x in pdf["doc_id"]], np.int64)
-
-
-def _texts(pdf: pd.DataFrame) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
-
-
-def _later(strings: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
-    """For each string, bit o set where its window o is in a string of a smaller document."""
-    index = RunIndex(strings, docs, length)
+def _later(index: RunIndex, strings: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
+    """For each string, bit o set where its window o is in an indexed string of a smaller document."""
     widest = max(map(len, strings))
     patterns = np.zeros((len(strings), widest), np.int64)
     for i, s in enumerate(strings):
@@ -236,8 +240,29 @@ def _later(strings: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
     return masks
 
 
-SEGMENTS = "chunk int, bucket int, anchors binary, contents binary, docs binary, sizes binary, bytes binary"
-MARKS = "chunk int, contents binary, masks binary"
+def _blocks(strings: list[bytes], most: int) -> Iterator[slice]:
+    first, held = 0, 0
+    for i, s in enumerate(strings):
+        held += len(s)
+        if held > most:
+            yield slice(first, i + 1)
+            first, held = i + 1, 0
+    if first < len(strings):
+        yield slice(first, len(strings))
+
+
+def _matches(strings: list[bytes], docs: np.ndarray, length: int, most: int = LARGEST) -> np.ndarray:
+    """_later of all strings against all of them. Indexes of bounded size: the strings of a larger lot stream through one after another."""
+    masks, blocks = np.zeros(len(strings), np.uint64), list(_blocks(strings, most))
+    for own in blocks:
+        index = RunIndex(strings[own], docs[own], length)
+        for part in blocks:
+            masks[part] |= _later(index, strings[part], docs[part], length)
+    return masks
+
+
+SEGMENTS = "chunk long, bucket int, anchors binary, contents binary, docs binary, sizes binary, bytes binary"
+MARKS = "chunk long, contents binary, masks binary"
 ALL = np.uint64(2**64 - 1)
 
 
@@ -249,31 +274,36 @@ def _settle(length: int):
         anchor, content, doc, size = np.concatenate(anchors), np.concatenate(contents), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
         blob = b"".join(pdf["bytes"])
         ends = np.cumsum(size)
+        string = lambda i: blob[ends[i] - size[i] : ends[i]]
         order = np.lexsort((doc, content))
         first = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
         head = order[first]  # of each content, where its smallest document stands
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+        for i in np.flatnonzero(head[group] != np.arange(len(order))).tolist():
+            if string(i) != string(head[group[i]]):
+                raise ValueError("two segments share a 64-bit content hash: choose another hash base")
         masks = np.zeros(len(head), np.uint64)
         # minimizers with different contents; each batch holds whole groups of one minimizer
         by_anchor = np.argsort(anchor[head], kind="stable")
         a = anchor[head][by_anchor]
         cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         batch, held = [], 0
-        spans = list(zip(cuts, [*cuts[1:], len(a)], strict=True))
-        for i, (lo, hi) in enumerate(spans):
+
+        def index() -> None:
+            which = np.concatenate(batch)
+            masks[which] = _matches([string(x) for x in head[which]], doc[head[which]], length)
+
+        for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
             if hi - lo > 1:
+                more = int(size[head[by_anchor[lo:hi]]].sum())
+                if batch and held + more > LARGEST:
+                    index()
+                    batch, held = [], 0
                 batch.append(by_anchor[lo:hi])
-                held += int(size[head[by_anchor[lo:hi]]].sum())
-            if batch and (held > LARGEST or i == len(spans) - 1):
-                which = np.concatenate(batch)
-                at = head[which]
-                masks[which] = _later([blob[ends[x] - size[x] : ends[x]] for x in at], doc[at], length)
-                batch, held = [], 0
+                held += more
         if batch:
-            which = np.concatenate(batch)
-            at = head[which]
-            masks[which] = _later([blob[ends[x] - size[x] : ends[x]] for x in at], doc[at], length)
+            index()
         answer = np.where(doc > doc[head][group], ALL, masks[group])
         out, at = [], 0
         for chunk, n in zip(pdf["chunk"], counts, strict=True):
@@ -289,78 +319,80 @@ def _settle(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of start, end) for each row."""
-    n_chunks = chunk_count(docs, mb=12)
-    dealt, buckets = in_chunks(docs, n_chunks), max(n_chunks, partitions(docs.sparkSession))
+    chunks = packed(docs, mb=12)
+    buckets = bucket_count(chunks, mb=12)
+
+    def ids_of(chunk: Chunk) -> np.ndarray:
+        return np.array([NULL_ID if i is None else i for i in chunk.ids], np.int64)
 
-    def census(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Segments(_texts(pdf), length, gram)
+    def census(number: int, chunk: Chunk) -> pd.DataFrame:
+        s = Segments(chunk.data, chunk.sizes, length, gram, contents=False)
         keys = squeeze(s.anchor, buckets)
         order = np.lexsort((s.text, keys))
         k, t = keys[order], s.text[order]
         once = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])]) if len(k) else np.zeros(0, bool)
-        return census_rows(int(pdf["chunk"].iloc[0]), *np.unique(k[once], return_counts=True))
+        return census_rows(number, *np.unique(k[once], return_counts=True))
 
-    repeated = repeated_keys(dealt.groupBy("chunk").applyInPandas(census, CENSUS))
+    repeated = repeated_keys(per_chunk(chunks, census, CENSUS))
 
-    def send(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+    def send(number: int, chunk: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
+        """A row for each bucket; that of bucket -1 goes back to the chunk: where its segments stand, and which share a content."""
         columns = ["chunk", "bucket", "anchors", "contents", "docs", "sizes", "bytes"]
-        if not len(pdf) or not len(reply):
+        if not len(reply):
             return pd.DataFrame(columns=columns)
-        s, ids = Segments(_texts(pdf), length, gram), _ids(pdf)
+        s, ids = Segments(chunk.data, chunk.sizes, length, gram), ids_of(chunk)
         keys = squeeze(s.anchor, buckets)
         shared = np.flatnonzero(looked_up(keys, *answers(reply), 0) > 1)
+        own = [(number, -1, s.start[shared].astype("<u4").tobytes(), s.content[shared].tobytes(), b"", s.windows[shared].astype("u1").tobytes(), b"")]
         # of each content the smallest document
         order = shared[np.lexsort((ids[s.text[shared]], s.content[shared]))]
         c = s.content[order]
         order = order[np.concatenate([[True], c[1:] != c[:-1]])] if len(c) else order
         order = order[np.argsort(keys[order], kind="stable")]
-        out, chunk = [], int(pdf["chunk"].iloc[0])
         for bucket, part in by_bucket(keys[order]):
             at = order[part]
             sizes = s.windows[at] + length - 1
-            out.append((chunk, bucket, s.anchor[at].tobytes(), s.content[at].tobytes(), ids[s.text[at]].tobytes(), sizes.astype("<u2").tobytes(), b"".join([s.bytes_of(i) for i in at])))
-        return pd.DataFrame(out, columns=columns)
-
-    sent = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInPandas(send, SEGMENTS)
-    marks = sent.groupBy("bucket").applyInPandas(_settle(length), MARKS)
-
-    def cut(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        if not len(pdf):
-            return pd.DataFrame(columns=columns)
-        texts, ids = _texts(pdf), _ids(pdf)
-        s = Segments(texts, length, gram)
-        delta = np.zeros(len(s.data) + 1, np.int32)
-        if len(reply):
-            content = np.frombuffer(b"".join(reply["contents"]), "<u8")
-            mask = np.frombuffer(b"".join(reply["masks"]), "<u8")
-            order = np.argsort(content, kind="stable")
-            content, mask = content[order], mask[order]
-        else:
-            content, mask = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        least = np.full(len(s.start), NULL_ID, np.int64)
-        seen, back = np.unique(s.content, return_inverse=True)
-        tops = np.full(len(seen), NULL_ID, np.int64)
-        mine = ids[s.text] if len(s.text) else least
-        np.minimum.at(tops, back, mine)
-        answer = np.zeros(len(s.start), np.uint64)
-        if len(content):
-            at = np.minimum(np.searchsorted(content, s.content), len(content) - 1)
-            answer = np.where(content[at] == s.content, mask[at], answer)
-        answer = np.where(mine > tops[back], ALL, answer) if len(mine) else answer
-        hit = np.flatnonzero(answer != 0)
-        for o in range(length - gram + 1):
-            on = hit[(o < s.windows[hit]) & ((answer[hit] >> np.uint64(o)) & np.uint64(1) == 1)]
-            np.add.at(delta, s.start[on] + o, 1)
-            np.add.at(delta, s.start[on] + o + length, -1)
+            own.append((number, bucket, s.anchor[at].tobytes(), s.content[at].tobytes(), ids[s.text[at]].tobytes(), sizes.astype("<u2").tobytes(), b"".join([s.bytes_of(i) for i in at])))
+        return pd.DataFrame(own, columns=columns)
+
+    sent = stored(answered(chunks, repeated, send, SEGMENTS), "segments")
+    marks = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_settle(length), MARKS)
+    places = sent.where("bucket = -1").select("chunk", F.col("anchors").alias("starts"), "contents", F.col("sizes").alias("masks"))
+    back = places.unionByName(marks.select("chunk", F.lit(None).cast("binary").alias("starts"), "contents", "masks"))
+
+    def cut(_: int, chunk: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
+        ids, at_home = ids_of(chunk), reply["starts"].notna()
+        read = lambda rows, c, kind: np.frombuffer(b"".join(rows[c]), kind)
+        start, contents, windows = (read(reply[at_home], c, k) for c, k in (("starts", "<u4"), ("contents", "<u8"), ("masks", "u1")))
+        start, windows = start.astype(np.int64), windows.astype(np.int64)
+        content, mask = read(reply[~at_home], "contents", "<u8"), read(reply[~at_home], "masks", "<u8")
+        order = np.argsort(content, kind="stable")
+        content, mask = content[order], mask[order]
+        ends = np.cumsum(chunk.sizes)
+        mine = ids[np.searchsorted(ends, start, side="right")] if len(start) else np.zeros(0, np.int64)
+        delta = np.zeros(len(chunk.data) + 1, np.int32)
+        if len(start):
+            seen, group = np.unique(contents, return_inverse=True)
+            tops = np.full(len(seen), NULL_ID, np.int64)
+            np.minimum.at(tops, group, mine)
+            answer = np.zeros(len(start), np.uint64)
+            if len(content):
+                at = np.minimum(np.searchsorted(content, contents), len(content) - 1)
+                answer = np.where(content[at] == contents, mask[at], answer)
+            answer = np.where(mine > tops[group], ALL, answer)
+            hit = np.flatnonzero(answer != 0)
+            for o in range(length - gram + 1):
+                on = hit[(o < windows[hit]) & ((answer[hit] >> np.uint64(o)) & np.uint64(1) == 1)]
+                np.add.at(delta, start[on] + o, 1)
+                np.add.at(delta, start[on] + o + length, -1)
         removed = np.cumsum(delta[:-1]) > 0
         out = []
-        for doc_id, text, begin in zip(pdf["doc_id"], texts, s.begins, strict=True):
-            r = removed[begin : begin + len(text)]
+        for doc_id, begin, end in zip(chunk.ids, (ends - chunk.sizes).tolist(), ends.tolist(), strict=True):
+            r, text = removed[begin:end], chunk.data[begin:end]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], r.view(np.int8), [0]])))
             spans = [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
-            kept = s.data[begin : begin + len(text)][~r].tobytes() if spans else text
+            kept = (text[~r] if spans else text).tobytes()
             out.append((doc_id, len(text), int(r.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
-        return frame(out, columns, ("doc_id", "n_bytes", "n_removed", "n_spans"))
+        return frame(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], ("doc_id", "n_bytes", "n_removed", "n_spans"))
 
-    return dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return answered(chunks, back, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
