@@ -11,8 +11,8 @@ ones, the rest together): sum over components of their share times the product o
 row isn't read. Piece probabilities start from the vocabulary's own scores and are fitted for each component by expectation
 maximisation over the lattices of all training words, with their counts in all training documents.
 
-Recursions run over many words at once. Words of up to `SHORT` characters multiply probabilities and take the log at the end; those with
-a sum below `LEAST` in any component, which doubles hold badly or not at all, and all longer ones run in log space throughout.
+Recursions run over many words of one length at once, in log space throughout. Besides the score there is `piece_score`, the same marginal by the
+vocabulary's pieces alone, without the arcs of whole training words.
 
 Distribution: chunks of documents send each bucket of words its distinct words with their training counts; a bucket merges
 them into its part of the vocabulary, scores each distinct word once, and answers the chunks. Expected piece counts are
@@ -33,13 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import frame, in_chunks
-from .common import chunk_count, partitions, stored
+from .chunks import Chunk, answered, bucket_count, frame, packed, per_chunk
+from .common import discard, partitions, stored
 
-FOLDS, HELD_OUT, ROUNDS, PRIOR, DISCOUNT, COMPONENTS, SHORT, BATCH = 5, 1, 2, 2000.0, 0.6, 6, 40, 4096
-LEAST = 1e-250
+FOLDS, HELD_OUT, ROUNDS, PRIOR, DISCOUNT, COMPONENTS, BATCH = 5, 1, 2, 2000.0, 0.6, 6, 4096
 MARK, BASE = "▁", 0x9E3779B97F4A7C15
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def default_vocabulary() -> str:
@@ -118,26 +116,10 @@ class Lattice:
 
     def _forward(self, arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], n: int, texts: int) -> np.ndarray:
         """Natural logs of the sums over all segmentations up to each position: positions by texts by components."""
-        shape = (n + 1, texts, self.p.shape[1])
-        deep = np.ones(texts, bool)
-        if n <= SHORT:
-            linear = np.zeros(shape)
-            linear[0] = 1.0
-            for (i, j), (r, k) in arcs.items():
-                linear[j, r] += linear[i, r] * self.p[k]
-            # every position can be reached, so a sum this small has lost digits or is 0 for want of range
-            deep = (linear < LEAST).any(axis=(0, 2))
-            with np.errstate(divide="ignore"):
-                log = np.log(linear)
-        else:
-            log = np.empty(shape)
-        if deep.any():
-            log[:, deep] = -np.inf
-            log[0, deep] = 0.0
-            logp = np.log(self.p)
-            for (i, j), (r, k) in arcs.items():
-                r, k = r[deep[r]], k[deep[r]]
-                log[j, r] = np.logaddexp(log[j, r], log[i, r] + logp[k])
+        log, logp = np.full((n + 1, texts, self.p.shape[1]), -np.inf), np.log(self.p)
+        log[0] = 0.0
+        for (i, j), (r, k) in arcs.items():
+            log[j, r] = np.logaddexp(log[j, r], log[i, r] + logp[k])
         return log
 
     def logs(self, words: list[str]) -> np.ndarray:
@@ -175,26 +157,29 @@ class Lattice:
         return sums[: self.pieces]
 
 
-def _held(doc_id: object) -> bool:
-    return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % FOLDS == HELD_OUT
+def _held(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _words(text: str) -> list[bytes]:
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def _words(text: bytes) -> list[bytes]:
     """Words of the lower-cased text. str.split() would also part at white space beyond ASCII, so bytes are split."""
-    return text.translate(_LOWER).encode("utf-8", "surrogatepass").split()
+    return text.translate(_LOWER).split()
 
 
-SENT = "chunk int, bucket int, words binary, counts binary"
+SENT = "chunk long, bucket int, words binary, counts binary"
 
 
 def _send(buckets: int, names: list[str | None]):
     """The chunk's distinct words by bucket, with their training counts in each component."""
     place = {n: i for i, n in enumerate(names)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(chunk: int, rows: Chunk) -> pd.DataFrame:
         number: dict[bytes, int] = {}
         tallies = [dict() for _ in range(len(names))]
-        for doc_id, text, part in zip(pdf["doc_id"], pdf["text"], pdf["part"], strict=True):
+        for doc_id, text, part in zip(rows.ids, rows.texts(), rows.table.column("part").to_pylist(), strict=True):
             found = _words(text)
             for w in found:
                 if w not in number:
@@ -209,7 +194,6 @@ def _send(buckets: int, names: list[str | None]):
         split: dict[int, list[bytes]] = {}
         for w in number:
             split.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        chunk = int(pdf["chunk"].iloc[0])
         return pd.DataFrame([(chunk, b, b" ".join(ws), counts[[number[w] for w in ws]].tobytes()) for b, ws in split.items()], columns=["chunk", "bucket", "words", "counts"])
 
     return run
@@ -276,7 +260,8 @@ def _answer(shared, components: int):
         lattice = Lattice(pieces, probabilities).logs([_text(w) for w in number])
         whole = np.maximum(total - DISCOUNT, 0.0) / sizes
         with np.errstate(divide="ignore"):
-            logs = np.logaddexp(np.log(whole), lattice + np.log(np.maximum(DISCOUNT * kinds, 1.0) / sizes)).astype("<f4")
+            logs = np.logaddexp(np.log(whole), lattice + np.log(np.maximum(DISCOUNT * kinds, 1.0) / sizes))
+        logs = np.hstack([logs, lattice]).astype("<f4")
         pooled, out = total.sum(axis=1).astype("<i8"), []
         for chunk, words in zip(pdf["chunk"], pdf["words"], strict=True):
             at = [number[w] for w in bytes(words).split(b" ")]
@@ -287,20 +272,21 @@ def _answer(shared, components: int):
 
 
 def lattice_scores(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS, component: str | None = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, piece_score for each row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.col(component).cast("string") if component in docs.columns else F.lit(None).cast("string")).alias("part"))
-    n_chunks = chunk_count(docs)
-    buckets = max(n_chunks, partitions(spark))
-    dealt = in_chunks(docs, n_chunks, "part")
+    chunks = packed(docs, "part")
+    buckets = bucket_count(chunks)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     by_part = docs.where(fold != HELD_OUT).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     frequent = [(r["part"], r["n"]) for r in by_part.orderBy(F.desc("n"), "part").limit(COMPONENTS - 1).collect()]
     ends = docs.where(fold != HELD_OUT).count()
-    # the last component is for all other values
-    names = [*(p for p, _ in frequent), "\0other"]
-    shares = np.array([*(n for _, n in frequent), ends - sum(n for _, n in frequent)], float)
-    sent = stored(dealt.groupBy("chunk").applyInPandas(_send(buckets, names), SENT), "chunk-words")
+    names, shares = [p for p, _ in frequent], [float(n) for _, n in frequent]
+    if ends > sum(shares) or not names:
+        # the last component is for all other values
+        names, shares = [*names, "\0other"], [*shares, ends - sum(shares)]
+    shares = np.array(shares)
+    sent = stored(per_chunk(chunks, _send(buckets, names), SENT), "chunk-words")
     k = len(names)
     known = stored(sent.groupBy("bucket").applyInPandas(_vocabulary(k), "words binary, counts binary, distinct long, kinds array<long>, tokens array<long>"), "vocabulary")
     sums = known.agg(F.coalesce(F.sum("distinct"), F.lit(0)), *[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for c in ("kinds", "tokens") for i in range(k)]).first()
@@ -308,29 +294,29 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, rounds: int =
     total, all_kinds = int(tokens.sum()) + ends, distinct + (1 if ends else 0)
     pieces, first = vocabulary_scores(vocabulary or default_vocabulary())
     probabilities = fit(known, pieces, first, k, rounds)
+    discard(known)
     sizes = np.maximum(tokens + shares, 1.0)
     shared = spark.sparkContext.broadcast((pieces, probabilities, sizes, kinds))
-    replies = sent.groupBy("bucket").applyInPandas(_answer(shared, k), "chunk int, words binary, counts binary, logs binary")
+    replies = sent.groupBy("bucket").applyInPandas(_answer(shared, k), "chunk long, words binary, counts binary, logs binary")
     floor = math.log10(total + 0.5 * (all_kinds + 1))
     with np.errstate(divide="ignore"):
         prior = np.log(shares / ends) if ends else np.full(k, -math.log(k))
     end_logs = np.log(np.maximum(shares, 0.5) / sizes)
 
-    def judge(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+    def judge(_: int, rows: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
         place: dict[bytes, int] = {}
         for words in reply["words"]:
-            for w in bytes(words).split(b" "):
+            for w in bytes(words).split():
                 place[w] = len(place)
         counts = np.frombuffer(b"".join(reply["counts"]), "<i8").astype(float)
-        logs = np.frombuffer(b"".join(reply["logs"]), "<f4").reshape(-1, k).astype(float)
+        logs = np.frombuffer(b"".join(reply["logs"]), "<f4").reshape(-1, 2 * k).astype(float)
         base = np.log10(counts + 0.5) - floor
         out = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for doc_id, text in zip(rows.ids, rows.texts(), strict=True):
             at = np.array([place[w] for w in _words(text)], np.int64)
-            sides = logs[at].sum(axis=0) + prior + end_logs
-            top = sides.max()
-            score = (top + math.log(np.exp(sides - top).sum())) / math.log(10)
-            out.append((doc_id, _held(doc_id), len(at) + 1, int((counts[at] > 0).sum()) + (ends > 0), total, float(base[at].sum()) + math.log10(ends + 0.5) - floor, score))
-        return frame(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], ("doc_id", "n_tokens", "n_known", "train_tokens"))
+            sides = logs[at].sum(axis=0).reshape(2, k) + prior + end_logs
+            score, by_pieces = (np.logaddexp.reduce(sides, axis=1) / math.log(10)).tolist()
+            out.append((doc_id, _held(doc_id), len(at) + 1, int((counts[at] > 0).sum()) + (ends > 0), total, float(base[at].sum()) + math.log10(ends + 0.5) - floor, score, by_pieces))
+        return frame(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score"], ("doc_id", "n_tokens", "n_known", "train_tokens"))
 
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answered(chunks, replies, judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, piece_score double")
