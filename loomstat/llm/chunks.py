@@ -35,9 +35,9 @@ def frame(rows: list[tuple], columns: list[str], whole: tuple[str, ...] = ("doc_
 LOW = np.uint64((1 << 40) - 1)
 
 
-def packed(docs: DataFrame, *columns: str, mb: int = 24) -> DataFrame:
+def _cut(docs: DataFrame, columns: tuple[str, ...], mb: int) -> DataFrame:
     """chunk, bytes, blob: rows of docs (doc_id, text with null as empty, further columns) in chunks of about mb MB of text, less where
-    that would leave partitions without any. A table of its own, so that a task that runs anew finds the same chunks."""
+    that would leave partitions without any."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -72,13 +72,23 @@ def packed(docs: DataFrame, *columns: str, mb: int = 24) -> DataFrame:
             yield blob()
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *columns)
-    return stored(named.mapInArrow(run, "chunk long, bytes long, blob binary"), "chunks")
+    return named.mapInArrow(run, "chunk long, bytes long, blob binary")
+
+
+def dealt(docs: DataFrame, *columns: str, mb: int = 24) -> DataFrame:
+    """The chunks dealt by their number. Within one plan the exchange is made once; another plan may cut other chunks, see packed()."""
+    return _cut(docs, columns, mb).repartition("chunk")
+
+
+def packed(docs: DataFrame, *columns: str, mb: int = 24) -> DataFrame:
+    """The chunks as a table, for operators that read them in several plans."""
+    return stored(_cut(docs, columns, mb), "chunks")
 
 
-def bucket_count(chunks: DataFrame, mb: int = 24) -> int:
+def bucket_count(docs: DataFrame, mb: int = 24) -> int:
     """Buckets for a census: one for mb MB of text, at least one for each shuffle partition."""
-    total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    return max(partitions(chunks.sparkSession), -(-total // (mb << 20)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // (mb << 20)))
 
 
 class Chunk:
@@ -110,12 +120,10 @@ def chunks_of(pdf: pd.DataFrame) -> Iterator[tuple[int, Chunk]]:
 def per_chunk(chunks: DataFrame, run, schema: str) -> DataFrame:
     """run(number, chunk) -> frame of the schema, for each chunk."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for number, chunk in chunks_of(b):
-                yield run(number, chunk)
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        return next(run(number, chunk) for number, chunk in chunks_of(pdf))
 
-    return chunks.select("chunk", "blob").mapInPandas(each, schema)
+    return chunks.select("chunk", "blob").groupBy("chunk").applyInPandas(each, schema)
 
 
 def answered(chunks: DataFrame, replies: DataFrame, run, schema: str) -> DataFrame:

@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .chunks import CENSUS, Chunk, answered, answers, bucket_count, by_bucket, census_rows, frame, looked_up, packed, per_chunk, repeated_keys, squeeze
-from .common import stored
+from .chunks import CENSUS, Chunk, answered, answers, bucket_count, by_bucket, census_rows, dealt, frame, looked_up, per_chunk, repeated_keys, squeeze
 
 LENGTH, GRAM, LARGEST, BATCH, NULL_ID = 50, 28, 1_000_000, 1 << 19, 2**63 - 1
 _B = 0x9E3779B97F4A7C15
@@ -272,7 +271,8 @@ def _settle(length: int):
         anchors, contents, docs, sizes = read("anchors", "<u8"), read("contents", "<u8"), read("docs", "<i8"), read("sizes", "<u2")
         counts = [len(c) for c in contents]
         anchor, content, doc, size = np.concatenate(anchors), np.concatenate(contents), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
-        blob = b"".join(pdf["bytes"])
+        unpack = zstandard.ZstdDecompressor()
+        blob = b"".join([unpack.decompress(x) for x in pdf["bytes"]])
         ends = np.cumsum(size)
         string = lambda i: blob[ends[i] - size[i] : ends[i]]
         order = np.lexsort((doc, content))
@@ -319,8 +319,8 @@ def _settle(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of start, end) for each row."""
-    chunks = packed(docs, mb=12)
-    buckets = bucket_count(chunks, mb=12)
+    chunks = dealt(docs, mb=12)
+    buckets = bucket_count(docs, mb=12)
 
     def ids_of(chunk: Chunk) -> np.ndarray:
         return np.array([NULL_ID if i is None else i for i in chunk.ids], np.int64)
@@ -336,57 +336,50 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     repeated = repeated_keys(per_chunk(chunks, census, CENSUS))
 
     def send(number: int, chunk: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
-        """A row for each bucket; that of bucket -1 goes back to the chunk: where its segments stand, and which share a content."""
         columns = ["chunk", "bucket", "anchors", "contents", "docs", "sizes", "bytes"]
         if not len(reply):
             return pd.DataFrame(columns=columns)
-        s, ids = Segments(chunk.data, chunk.sizes, length, gram), ids_of(chunk)
+        s, ids, packer = Segments(chunk.data, chunk.sizes, length, gram), ids_of(chunk), zstandard.ZstdCompressor(level=1)
         keys = squeeze(s.anchor, buckets)
         shared = np.flatnonzero(looked_up(keys, *answers(reply), 0) > 1)
-        own = [(number, -1, s.start[shared].astype("<u4").tobytes(), s.content[shared].tobytes(), b"", s.windows[shared].astype("u1").tobytes(), b"")]
         # of each content the smallest document
         order = shared[np.lexsort((ids[s.text[shared]], s.content[shared]))]
         c = s.content[order]
         order = order[np.concatenate([[True], c[1:] != c[:-1]])] if len(c) else order
-        order = order[np.argsort(keys[order], kind="stable")]
+        order = order[np.lexsort((s.anchor[order], keys[order]))]
+        out = []
         for bucket, part in by_bucket(keys[order]):
             at = order[part]
             sizes = s.windows[at] + length - 1
-            own.append((number, bucket, s.anchor[at].tobytes(), s.content[at].tobytes(), ids[s.text[at]].tobytes(), sizes.astype("<u2").tobytes(), b"".join([s.bytes_of(i) for i in at])))
-        return pd.DataFrame(own, columns=columns)
+            out.append((number, bucket, s.anchor[at].tobytes(), s.content[at].tobytes(), ids[s.text[at]].tobytes(), sizes.astype("<u2").tobytes(), packer.compress(b"".join([s.bytes_of(i) for i in at]))))
+        return pd.DataFrame(out, columns=columns)
 
-    sent = stored(answered(chunks, repeated, send, SEGMENTS), "segments")
-    marks = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_settle(length), MARKS)
-    places = sent.where("bucket = -1").select("chunk", F.col("anchors").alias("starts"), "contents", F.col("sizes").alias("masks"))
-    back = places.unionByName(marks.select("chunk", F.lit(None).cast("binary").alias("starts"), "contents", "masks"))
+    sent = answered(chunks, repeated, send, SEGMENTS)
+    marks = sent.groupBy("bucket").applyInPandas(_settle(length), MARKS)
 
     def cut(_: int, chunk: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
-        ids, at_home = ids_of(chunk), reply["starts"].notna()
-        read = lambda rows, c, kind: np.frombuffer(b"".join(rows[c]), kind)
-        start, contents, windows = (read(reply[at_home], c, k) for c, k in (("starts", "<u4"), ("contents", "<u8"), ("masks", "u1")))
-        start, windows = start.astype(np.int64), windows.astype(np.int64)
-        content, mask = read(reply[~at_home], "contents", "<u8"), read(reply[~at_home], "masks", "<u8")
+        s, ids = Segments(chunk.data, chunk.sizes, length, gram), ids_of(chunk)
+        content, mask = (np.frombuffer(b"".join(reply[c]), "<u8") for c in ("contents", "masks"))
         order = np.argsort(content, kind="stable")
         content, mask = content[order], mask[order]
-        ends = np.cumsum(chunk.sizes)
-        mine = ids[np.searchsorted(ends, start, side="right")] if len(start) else np.zeros(0, np.int64)
         delta = np.zeros(len(chunk.data) + 1, np.int32)
-        if len(start):
-            seen, group = np.unique(contents, return_inverse=True)
+        if len(s.start):
+            mine = ids[s.text]
+            seen, group = np.unique(s.content, return_inverse=True)
             tops = np.full(len(seen), NULL_ID, np.int64)
             np.minimum.at(tops, group, mine)
-            answer = np.zeros(len(start), np.uint64)
+            answer = np.zeros(len(s.start), np.uint64)
             if len(content):
-                at = np.minimum(np.searchsorted(content, contents), len(content) - 1)
-                answer = np.where(content[at] == contents, mask[at], answer)
+                at = np.minimum(np.searchsorted(content, s.content), len(content) - 1)
+                answer = np.where(content[at] == s.content, mask[at], answer)
             answer = np.where(mine > tops[group], ALL, answer)
             hit = np.flatnonzero(answer != 0)
             for o in range(length - gram + 1):
-                on = hit[(o < windows[hit]) & ((answer[hit] >> np.uint64(o)) & np.uint64(1) == 1)]
-                np.add.at(delta, start[on] + o, 1)
-                np.add.at(delta, start[on] + o + length, -1)
+                on = hit[(o < s.windows[hit]) & ((answer[hit] >> np.uint64(o)) & np.uint64(1) == 1)]
+                np.add.at(delta, s.start[on] + o, 1)
+                np.add.at(delta, s.start[on] + o + length, -1)
         removed = np.cumsum(delta[:-1]) > 0
-        out = []
+        out, ends = [], np.cumsum(chunk.sizes)
         for doc_id, begin, end in zip(chunk.ids, (ends - chunk.sizes).tolist(), ends.tolist(), strict=True):
             r, text = removed[begin:end], chunk.data[begin:end]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], r.view(np.int8), [0]])))
@@ -395,4 +388,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             out.append((doc_id, len(text), int(r.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
         return frame(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], ("doc_id", "n_bytes", "n_removed", "n_spans"))
 
-    return answered(chunks, back, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return answered(chunks, marks, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
