@@ -80,7 +80,7 @@ def _signature(tokens: np.ndarray) -> int:
 def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, sig for each row; tokens and frequencies too for one row of a set and chunk that may link with another set."""
     chunks = packed(docs)
-    buckets = bucket_count(chunks)
+    buckets = bucket_count(docs)
 
     def census(number: int, chunk: Chunk) -> pd.DataFrame:
         found = [s for s in map(Shingler(width), chunk.texts()) if len(s)]

@@ -26,14 +26,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunk, answered, bucket_count, frame, packed, per_chunk
+from .chunks import Chunk, answered, bucket_count, frame, pack_counts, packed, per_chunk, unpack_counts
 from .common import discard, partitions, stored
 
 FOLDS, HELD_OUT, ROUNDS, PRIOR, DISCOUNT, COMPONENTS, BATCH = 5, 1, 2, 2000.0, 0.6, 6, 4096
@@ -169,6 +169,14 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
+def _by_bucket(distinct: Iterable[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """A chunk's distinct words by bucket, in order of their first places. The answers follow this order."""
+    split: dict[int, list[bytes]] = {}
+    for w in distinct:
+        split.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    return split
+
+
 SENT = "chunk long, bucket int, words binary, counts binary"
 
 
@@ -191,10 +199,7 @@ def _send(buckets: int, names: list[str | None]):
         counts = np.zeros((len(number), len(names)), "<u4")
         for c, tally in enumerate(tallies):
             counts[[number[w] for w in tally], c] = list(tally.values())
-        split: dict[int, list[bytes]] = {}
-        for w in number:
-            split.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        return pd.DataFrame([(chunk, b, b" ".join(ws), counts[[number[w] for w in ws]].tobytes()) for b, ws in split.items()], columns=["chunk", "bucket", "words", "counts"])
+        return pd.DataFrame([(chunk, b, b" ".join(ws), counts[[number[w] for w in ws]].tobytes()) for b, ws in _by_bucket(number, buckets).items()], columns=["chunk", "bucket", "words", "counts"])
 
     return run
 
@@ -263,10 +268,10 @@ def _answer(shared, components: int):
             logs = np.logaddexp(np.log(whole), lattice + np.log(np.maximum(DISCOUNT * kinds, 1.0) / sizes))
         logs = np.hstack([logs, lattice]).astype("<f4")
         pooled, out = total.sum(axis=1).astype("<i8"), []
-        for chunk, words in zip(pdf["chunk"], pdf["words"], strict=True):
+        for chunk, bucket, words in zip(pdf["chunk"], pdf["bucket"], pdf["words"], strict=True):
             at = [number[w] for w in bytes(words).split(b" ")]
-            out.append((chunk, bytes(words), pooled[at].tobytes(), logs[at].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "words", "counts", "logs"])
+            out.append((chunk, bucket, pack_counts(pooled[at]), logs[at].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "counts", "logs"])
 
     return run
 
@@ -276,7 +281,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, rounds: int =
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.col(component).cast("string") if component in docs.columns else F.lit(None).cast("string")).alias("part"))
     chunks = packed(docs, "part")
-    buckets = bucket_count(chunks)
+    buckets = bucket_count(docs)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     by_part = docs.where(fold != HELD_OUT).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     frequent = [(r["part"], r["n"]) for r in by_part.orderBy(F.desc("n"), "part").limit(COMPONENTS - 1).collect()]
@@ -297,7 +302,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, rounds: int =
     discard(known)
     sizes = np.maximum(tokens + shares, 1.0)
     shared = spark.sparkContext.broadcast((pieces, probabilities, sizes, kinds))
-    replies = sent.groupBy("bucket").applyInPandas(_answer(shared, k), "chunk long, words binary, counts binary, logs binary")
+    replies = sent.groupBy("bucket").applyInPandas(_answer(shared, k), "chunk long, bucket int, counts binary, logs binary")
     floor = math.log10(total + 0.5 * (all_kinds + 1))
     with np.errstate(divide="ignore"):
         prior = np.log(shares / ends) if ends else np.full(k, -math.log(k))
@@ -305,15 +310,18 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, rounds: int =
 
     def judge(_: int, rows: Chunk, reply: pd.DataFrame) -> pd.DataFrame:
         place: dict[bytes, int] = {}
-        for words in reply["words"]:
-            for w in bytes(words).split():
+        found = [_words(text) for text in rows.texts()]
+        split, counts = _by_bucket(dict.fromkeys(w for ws in found for w in ws), buckets), [np.zeros(0)]
+        for bucket, packed_counts in zip(reply["bucket"], reply["counts"], strict=True):
+            for w in split[bucket]:
                 place[w] = len(place)
-        counts = np.frombuffer(b"".join(reply["counts"]), "<i8").astype(float)
+            counts.append(unpack_counts(packed_counts, len(split[bucket])).astype(float))
+        counts = np.concatenate(counts)
         logs = np.frombuffer(b"".join(reply["logs"]), "<f4").reshape(-1, 2 * k).astype(float)
         base = np.log10(counts + 0.5) - floor
         out = []
-        for doc_id, text in zip(rows.ids, rows.texts(), strict=True):
-            at = np.array([place[w] for w in _words(text)], np.int64)
+        for doc_id, words in zip(rows.ids, found, strict=True):
+            at = np.array([place[w] for w in words], np.int64)
             sides = logs[at].sum(axis=0).reshape(2, k) + prior + end_logs
             score, by_pieces = (np.logaddexp.reduce(sides, axis=1) / math.log(10)).tolist()
             out.append((doc_id, _held(doc_id), len(at) + 1, int((counts[at] > 0).sum()) + (ends > 0), total, float(base[at].sum()) + math.log10(ends + 0.5) - floor, score, by_pieces))
