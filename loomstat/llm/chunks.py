@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 
 
-def frame(rows: list[tuple], columns: list[str], whole: tuple[str, ...] = ("doc_id",)) -> pd.DataFrame:
+def frame(rows: list[tuple], columns: list[str] | tuple[str, ...], whole: tuple[str, ...] = ("doc_id",)) -> pd.DataFrame:
     """A frame whose `whole` columns are nullable integers; pandas by itself would turn integers beside nulls into doubles."""
-    out = pd.DataFrame(rows, columns=columns, dtype=object)
+    out = pd.DataFrame(rows, columns=list(columns), dtype=object)
     return out.assign(**{c: pd.array(out[c].tolist(), dtype="Int64") for c in whole})
 
 

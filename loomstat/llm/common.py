@@ -68,6 +68,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exact(df: DataFrame, column: str, none: str) -> DataFrame:
+    """The column with 0 for null, and whether it was null in the column `none`: integers beside nulls would reach pandas as doubles."""
+    return df.withColumn(none, F.col(column).isNull()).withColumn(column, F.coalesce(F.col(column), F.lit(0)))
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """The name, or one made from it, that no column of the frames has in any case."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -26,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .chunks import frame
+from .common import discard, exact, stored
 
 SLOTS, KICKS = 4, 200
-CONTENT_BYTES, IDS_IN_ROW = 48 << 20, 4096
+CONTENT_BYTES, IDS_IN_ROW, INDEX_KEYS = 48 << 20, 4096, 50_000
 
 
 class CuckooIndex:
@@ -143,12 +144,12 @@ def local_groups(docs: DataFrame) -> DataFrame:
                 known = [i for i in ids if i is not None]
                 out.append((digest, size, (task << 34) + rows, ids, min(known) if known else None, len(ids)))
                 rows += 1
-            return pd.DataFrame(out, columns=["digest", "bytes", "row", "ids", "least", "docs"]).astype({"least": "Int64"})
+            return frame(out, ["digest", "bytes", "row", "ids", "least", "docs"], ("bytes", "row", "least", "docs"))
 
         for b in batches:
             full: list[tuple[bytes, int, list]] = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for doc_id, no_id, text in zip(b["doc_id"].tolist(), b["no_id"].tolist(), b["text"], strict=True):
+                doc_id = None if no_id else doc_id
                 content = normalised(text)
                 digest = hashlib.sha256(content).digest()
                 hit = index.get(digest)
@@ -170,31 +171,38 @@ def local_groups(docs: DataFrame) -> DataFrame:
         for at in range(0, len(left), 20_000):
             yield emit(left[at : at + 20_000])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "digest binary, bytes long, row long, ids array<long>, least long, docs long")
+    return exact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "no_id").mapInPandas(run, "digest binary, bytes long, row long, ids array<long>, least long, docs long")
 
 
 def verdicts(groups: DataFrame) -> DataFrame:
-    """digest, keep_id, keep_row, group_size: one index for each range of digests."""
+    """digest, keep_id, keep_row, group_size: one index for each range of digests. A task takes its digests in sorted order, so its index is
+    emptied, and what it found sent on, each time it holds `INDEX_KEYS` digests: no later row can ask for one of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = CuckooIndex()
+        index, columns = CuckooIndex(), ["digest", "keep_id", "keep_row", "group_size"]
+
+        def found() -> pd.DataFrame:
+            out = [(d, None if o[0] else o[1], o[2], n) for d, (_, o, n) in index.items()]
+            return frame(out, columns, ("keep_id", "keep_row", "group_size"))
+
         for b in batches:
-            for digest, size, row, least, docs in zip(b["digest"], b["bytes"], b["row"], b["least"], b["docs"], strict=True):
+            for digest, size, row, least, none, docs in zip(b["digest"], b["bytes"], b["row"], b["least"].tolist(), b["none"], b["docs"], strict=True):
                 digest = bytes(digest)
-                order = (1, 0, int(row)) if pd.isna(least) else (0, int(least), int(row))
+                order = (1, 0, int(row)) if none else (0, least, int(row))
                 hit = index.get(digest)
                 if hit is None:
+                    if index.size >= INDEX_KEYS:
+                        yield found()
+                        index = CuckooIndex()
                     index.insert(digest, [int(size), order, int(docs)])
                 elif hit[0] != size:
                     raise ValueError("one SHA-256 digest for texts of different lengths")
                 else:
                     hit[1] = min(hit[1], order)
                     hit[2] += int(docs)
-        out = [(d, None if o[0] else o[1], o[2], n) for d, (_, o, n) in index.items()]
-        for at in range(0, len(out), 50_000):
-            yield pd.DataFrame(out[at : at + 50_000], columns=["digest", "keep_id", "keep_row", "group_size"]).astype({"keep_id": "Int64"})
+        yield found()
 
-    return groups.select("digest", "bytes", "row", "least", "docs").repartition("digest").mapInPandas(run, "digest binary, keep_id long, keep_row long, group_size long")
+    return exact(groups.select("digest", "bytes", "row", "least", "docs"), "least", "none").repartition("digest").sortWithinPartitions("digest").mapInPandas(run, "digest binary, keep_id long, keep_row long, group_size long")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -208,38 +216,54 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The persistent form of the index: digest, bytes, live (rows that hold it), keep_id."""
-    groups = local_groups(docs)
-    return groups.groupBy("digest").agg(F.max("bytes").alias("bytes"), F.sum("docs").alias("live"), F.min("least").alias("keep_id"))
+    """The persistent form of the index: digest, bytes and row of ids for each task's group; digests with several groups have several rows.
+    keep_id of a digest is the least of its live ids: see live_digests()."""
+    return local_groups(docs).select("digest", "bytes", "ids")
 
 
-def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The index after rows came and went: each digest range replays its insertions, then its deletions, through a CuckooIndex.
+def live_digests(index: DataFrame) -> DataFrame:
+    """digest, bytes, live (rows that hold it), keep_id (the least live id; null where all are)."""
+    return index.groupBy("digest").agg(F.max("bytes").alias("bytes"), F.sum(F.size("ids")).alias("live"), F.min(F.array_min("ids")).alias("keep_id"))
 
-    A digest without live rows leaves the index. keep_id is the smallest id ever inserted that is known to the index."""
-    plus = build_index(inserted).select("digest", "bytes", "live", "keep_id", F.lit(0).alias("kind"))
-    minus = build_index(deleted).select("digest", "bytes", "live", "keep_id", F.lit(1).alias("kind"))
-    events = index.select("digest", "bytes", "live", "keep_id", F.lit(0).alias("kind")).unionByName(plus).unionByName(minus)
+
+def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The index after rows came and went. A deleted row takes one live row of its id and text out; a row that isn't live is ignored. Each
+    range of digests replays its insertions, then its deletions, through a CuckooIndex; a digest without live rows leaves it."""
+    here, gone = F.lit(0).alias("kind"), F.lit(1).alias("kind")
+    events = index.select("digest", "bytes", "ids", here).unionByName(build_index(inserted).withColumn("kind", here)).unionByName(build_index(deleted).withColumn("kind", gone))
+    # one event for each id, so that a hot digest is a sorted stream and not a list
+    events = events.select("digest", "bytes", "kind", F.explode("ids").alias("id"))
+    events = exact(events, "id", "none").repartition("digest").sortWithinPartitions("digest", "none", "id", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        live = CuckooIndex()
+        live, ids, current = CuckooIndex(), [], None
+
+        def done() -> Iterator[pd.DataFrame]:
+            if ids:
+                yield pd.DataFrame([(current[0], current[1], list(ids))], columns=["digest", "bytes", "ids"])
+
         for b in batches:
-            for digest, size, n, keep, kind in zip(b["digest"], b["bytes"], b["live"], b["keep_id"], b["kind"], strict=True):
-                digest, hit, keep = bytes(digest), live.get(bytes(digest)), None if pd.isna(keep) else int(keep)
+            for digest, size, i, none, kind in zip(b["digest"], b["bytes"], b["id"].tolist(), b["none"], b["kind"], strict=True):
+                key, i = (bytes(digest), int(size)), None if none else i
+                if current != key or (len(ids) >= IDS_IN_ROW and kind == 0 and ids[-1] != i):
+                    yield from done()
+                    if current and current != key and live.get(current[0]) == 0:
+                        live.delete(current[0])
+                    ids, current = [], key
+                if live.get(key[0]) is None:
+                    if live.size >= INDEX_KEYS:
+                        live = CuckooIndex()
+                    live.insert(key[0], 0)
                 if kind == 0:
-                    if hit is None:
-                        live.insert(digest, [int(size), int(n), keep])
-                    else:
-                        hit[1] += int(n)
-                        hit[2] = min([x for x in (hit[2], keep) if x is not None], default=None)
-                elif hit is not None:
-                    hit[1] -= int(n)
-                    if hit[1] <= 0:
-                        live.delete(digest)
-        out = [(d, *c) for d, c in live.items()]
-        yield pd.DataFrame(out, columns=["digest", "bytes", "live", "keep_id"]).astype({"keep_id": "Int64"})
-
-    return events.repartition("digest").sortWithinPartitions("digest", "kind").mapInPandas(run, "digest binary, bytes long, live long, keep_id long")
+                    ids.append(i)
+                    live.insert(key[0], live.get(key[0]) + 1)
+                elif ids and ids[-1] == i:
+                    ids.pop()
+                    live.insert(key[0], live.get(key[0]) - 1)
+        if current:
+            yield from done()
+
+    return events.mapInPandas(run, "digest binary, bytes long, ids array<long>")
 
 
 ORACLE = r"""

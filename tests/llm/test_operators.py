@@ -90,9 +90,22 @@ def test_exact_dedup(docs, rows, none):
 
 
 def test_index_update(spark):
-    old = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
-    new = exact_dedup.update_index(exact_dedup.build_index(old), spark.createDataFrame([(4, "d")], "doc_id long, text string"), spark.createDataFrame([(1, "a b"), (3, "c")], "doc_id long, text string"))
-    assert {bytes(r.digest): r.live for r in new.collect()} == {hashlib.sha256(t).digest(): 1 for t in (b"a b", b"d")}
+    schema = "doc_id long, text string"
+    old = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c"), (None, "d"), (9007199254740993, "e")], schema)
+    gone = spark.createDataFrame([(1, "a b"), (3, "c"), (77, "d"), (None, "never")], schema)
+    new = exact_dedup.update_index(exact_dedup.build_index(old), spark.createDataFrame([(4, "d"), (4, "d")], schema), gone)
+    digest = lambda t: hashlib.sha256(t).digest()
+    assert {bytes(r.digest): (r.live, r.keep_id) for r in exact_dedup.live_digests(new).collect()} == {digest(b"a b"): (1, 2), digest(b"d"): (3, 4), digest(b"e"): (1, 9007199254740993)}
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = 9007199254740993
+    text = "a text of some words that is long enough to have five word shingles and more than fifty bytes"
+    docs = spark.createDataFrame([(big, text), (None, "b"), (big + 2, text), (None, text + " x")], "doc_id long, text string").coalesce(1)
+    for out in (exact_dedup.exact_dedup(docs), substring_dedup.remove_repeats(docs), jaccard_join.jaccard_components(docs), lattice_lm.lattice_scores(docs, rounds=0), token_output.token_output(docs)):
+        assert Counter(r.doc_id for r in out.collect()) == Counter([big, big + 2, None, None])
+    assert {r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {big, None}
+    assert {r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {big, None}
 
 
 def test_substring_dedup(docs, rows, none):
@@ -282,7 +295,6 @@ def test_token_files(docs, rows, spark, none, tmp_path):
     from tokenizers import Tokenizer
 
     encode = Tokenizer.from_file(token_output.default_vocabulary())
-    encode.encode_special_tokens = True
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     ids = [np.array([*encode.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in order]
     starts = np.cumsum([0, *map(len, ids)])
@@ -304,7 +316,6 @@ def test_encoder_agrees_with_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(token_output.default_vocabulary())
-    plain.encode_special_tokens = True
     rng, own = random.Random(4), token_output.Encoder(token_output.default_vocabulary())
     parts = [" ", "  ", "\n", "\t", " ", "　", "a", "word", "it's", "12", "é", "日本", "!", "<|endoftext|>", "\x1c", "\x85", "🙂"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
@@ -319,8 +330,8 @@ def test_encoder_agrees_with_the_plain_call():
     words = ["stone", "day", "verse", "tone", "reel", "llama", "m", "é", "日本", "ªº", "ǅ"]
     texts = [start + word + rest for start in ["", "'", "’", "1", "!", "\n", "\t", "\u3000", "_", "''", "²"] for word in words for rest in ["", " ", " 'stone 'day", "\nverse"]]
     assert list(map(ids, texts)) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    # the one intended difference
-    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256] and 50256 not in ids("<|endoftext|>") and len(ids("<|endoftext|>")) == 7
+    for text in ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>'s"]:
+        assert 50256 in ids(text) and ids(text) == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_toxicity(spark, none):
