@@ -13,8 +13,8 @@ and renames the file when it is whole, so a task that runs twice leaves one whol
 Encoding is that of the tokenizers library, which cuts this vocabulary's texts before a space that has no white space after it,
 whatever stands around; pieces between such cuts are encoded once and their ids reused, from memos of bounded size.
 
-Defined results: special tokens' names inside a text are encoded as ordinary text; all else is as
-the library's plain encode(text, add_special_tokens=False) has it; null texts are empty and hold the end id alone; null ids come first; rows with equal ids follow by text.
+Defined results: ids are those of the library's plain encode(text, add_special_tokens=False), so the name of a special token inside a text
+is that token; null texts are empty and hold the end id alone; null ids come first; rows with equal ids follow by text.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from .common import fresh_path, partitions, stored
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
 FRAME, DOC, FOOTER = "<QQQI", np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), "<IIQQI4sI"
 FRAME_SIZE, FOOTER_SIZE = struct.calcsize(FRAME), struct.calcsize(FOOTER)
-MEMO = 1_400_000
+MEMO, ROWS = 1_400_000, 50_000
 
 
 def default_vocabulary() -> str:
@@ -77,7 +77,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold a special token's name go to the library whole
+        named = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(named)).search if named else lambda _: None
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         # a space with white space after it, or at the end, isn't a cut
         self.uncut, self.cuts = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").split
@@ -100,6 +102,8 @@ class Encoder:
         return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.bare[w] for w in self.cut(stretch)])
 
     def __call__(self, text: str) -> bytes:
+        if self.special(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = self.cuts(text) if self.uncut(text) else text.split(" ")
         return self._stretch(first) + b"".join(map(self.spaced.__getitem__, rest))
 
@@ -174,6 +178,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     spark = docs.sparkSession
     folder, vocabulary = folder or fresh_path(spark, "tokens"), vocabulary or default_vocabulary()
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards or partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    # ids beside nulls would reach pandas as doubles
+    ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -190,8 +196,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str | N
                 part = b.iloc[at : at + docs_per_frame]
                 ids = [encode(x) + end for x in part["text"]]
                 records = np.zeros(len(part), DOC)
-                null = part["doc_id"].isna().to_numpy()
-                records["id"], records["null"], records["n"] = part["doc_id"].fillna(0).to_numpy(np.int64), null, [len(x) // 4 for x in ids]
+                records["id"], records["null"], records["n"] = part["doc_id"].to_numpy(np.int64), part["no_id"].to_numpy(), [len(x) // 4 for x in ids]
                 raw = b"".join(ids)
                 z = packer.compress(raw)
                 out = out or fs.open_output_stream(own)
@@ -216,6 +221,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     files = manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("before"))
     files = files.repartition(partitions(manifest.sparkSession), "path")
 
+    columns = ("doc_id", "start", "n_tokens", "ids_crc32")
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, at in zip(b["path"], b["before"], strict=True):
@@ -223,7 +230,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 for name, ids in Shard(path).documents():
                     rows.append((name, at, len(ids), zlib.crc32(ids.tobytes())))
                     at += len(ids)
-                yield frame(rows, ["doc_id", "start", "n_tokens", "ids_crc32"], ("doc_id", "start", "n_tokens", "ids_crc32"))
+                    if len(rows) == ROWS:
+                        yield frame(rows, columns, columns)
+                        rows = []
+                yield frame(rows, columns, columns)
 
     return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
