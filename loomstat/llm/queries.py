@@ -35,7 +35,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-@CATALOGUE.query("op5_mixing", mixing.ORACLE)
+@CATALOGUE.query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("rate", "copies")
 

@@ -218,12 +218,6 @@ def test_mixing(docs, rows, none):
     assert mixing.mixed(none).count() == 0
 
 
-def test_targets_are_capped_and_reshared(spark):
-    totals = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 0), (None, 90)], "source string, source_size long")
-    got = {r.source: r.target for r in mixing.balanced_rates(mixing.source_targets(totals)).collect()}
-    assert got["b"] == 30 and got["c"] == 0 and got[None] == 270 and got["a"] == pytest.approx(800)
-
-
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     parts = ["\\", "### ", "</turn>", "\n", ": ", "Assistant", "a", "#", "<", "é"]
