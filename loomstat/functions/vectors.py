@@ -67,6 +67,31 @@ def activation(x: Column, kind: str) -> Column:
     return forms[kind]()
 
 
+def activation_derivative(x: Column, kind: str) -> Column:
+    """Of the activation's input."""
+    s = sigmoid(x)
+    forms = {
+        "identity": lambda: F.lit(1.0),
+        "sigmoid": lambda: s * (1 - s),
+        "tanh": lambda: 1 - F.tanh(x) * F.tanh(x),
+        "relu": lambda: (x > 0).cast("double"),
+        "leaky_relu": lambda: F.when(x > 0, 1.0).otherwise(0.01),
+    }
+    return forms[kind]()
+
+
+def matrix_vector(rows: Sequence[Sequence[float]], v: Column) -> Column:
+    """The product of a constant matrix and an array column."""
+    return F.array(*[dot(F.array(*[F.lit(float(x)) for x in row]), v) for row in rows])
+
+
+def average_path(n: float) -> float:
+    """Mean depth of an unsuccessful search in a binary tree of n keys."""
+    import math
+
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+
 def soft_threshold(rho: Column, alpha: float) -> Column:
     return F.when(rho > alpha, rho - alpha).when(rho < -alpha, rho + alpha).otherwise(F.lit(0.0))
 

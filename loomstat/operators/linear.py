@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.vectors import argmax, linear, sigmoid, softmax
+from loomstat.operators.estimator import Callback, Estimator, TrainingHistory
+
+
+WIDE = 24  # beyond so many columns the sums of pairs are made by blocks, not by an expression each
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, means and the centred cross products / n, in one aggregate of pairs."""
+    """n, means and the centred cross products / n over the rows without a null among the columns."""
     p = len(columns)
+    rows = df.select(*[F.col(c).cast("double").alias(f"m{i}_") for i, c in enumerate(columns)]).dropna()
+    names = rows.columns
+    if p > WIDE:
+        return _wide_moments(rows)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
+    row = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in names], *[F.covar_pop(names[i], names[j]) for i, j in pairs]).first()
+    if not row[0]:
+        raise ValueError("there are no complete rows")
     cov = np.zeros((p, p))
     for (i, j), v in zip(pairs, row[1 + p :], strict=True):
         cov[i, j] = cov[j, i] = v
     return row[0], np.array(row[1 : 1 + p], float), cov
 
 
+def _wide_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    p = len(rows.columns)
+    first = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in rows.columns]).first()
+    if not first[0]:
+        raise ValueError("there are no complete rows")
+    n, mean = first[0], np.array(first[1:], float)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((p, p))
+        for b in batches:
+            x = b.to_numpy(float) - mean
+            total += x.T @ x
+        i, j = np.triu_indices(p)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    cov = np.zeros((p, p))
+    for i, j, v in rows.mapInPandas(blocks, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
+        cov[i, j] = cov[j, i] = v / n
+    return n, mean, cov
+
+
+def solved(gram: np.ndarray, target: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """gram @ w = target for a symmetric matrix; dependent columns are found on the matrix scaled to a unit diagonal."""
+    size = np.sqrt(np.diag(gram))
+    if (size <= 0).any() or np.linalg.eigvalsh(gram / np.outer(size, size)).min() < least:
+        raise ValueError("the features are linearly dependent")
+    return np.linalg.solve(gram / np.outer(size, size), target / size) / size
+
+
 @dataclass
-class LinearModel:
+class LinearModel(Estimator):
+    learned = ("weights", "intercept")
+    regression = True
     features: Sequence[str]
     label: str
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -47,13 +89,11 @@ class LinearRegression(LinearModel):
     tol: float = 1e-4
     fit_intercept: bool = True
 
-    def fit(self, df: DataFrame) -> LinearRegression:
+    def fit(self, df: DataFrame, history: TrainingHistory | None = None, callback: Callback | None = None) -> LinearRegression:
         columns = [*self.features, self.label]
         _, mean, cov = moments(df, columns)
         if self.fit_intercept and self.solver == "closed":
-            if abs(np.linalg.det(cov[:-1, :-1])) < 1e-300:
-                raise ValueError("the features are linearly dependent")
-            self.weights = np.linalg.solve(cov[:-1, :-1], cov[:-1, -1])
+            self.weights = solved(cov[:-1, :-1], cov[:-1, -1])
             self.intercept = float(mean[-1] - self.weights @ mean[:-1])
             return self
         second = cov + np.outer(mean, mean)
@@ -61,12 +101,13 @@ class LinearRegression(LinearModel):
             second = np.block([[np.ones((1, 1)), mean[None, :]], [mean[:, None], second]])
         gram, target, power = second[:-1, :-1], second[:-1, -1], second[-1, -1]
         if self.solver == "closed":
-            w = np.linalg.solve(gram, target)
+            w = solved(gram, target)
         else:
             w, last = np.zeros(len(target)), None
-            for _ in range(self.max_iter):
+            for epoch in range(self.max_iter):
                 loss = w @ gram @ w - 2 * w @ target + power
                 w = w - self.learning_rate * (gram @ w - target)
+                self.report(history, callback, epoch, loss)
                 if last is not None and abs(last - loss) < self.tol:
                     break
                 last = loss
@@ -114,9 +155,11 @@ class Lasso(LinearModel):
 
 
 @dataclass
-class LogisticRegression:
+class LogisticRegression(Estimator):
     """Full-batch gradient steps from 0 without intercept: one aggregate of p sums for each step."""
 
+    learned = ("weights",)
+
     features: Sequence[str]
     label: str
     learning_rate: float = 0.1
@@ -125,7 +168,7 @@ class LogisticRegression:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def fit(self, df: DataFrame) -> LogisticRegression:
-        data = df.select(*self.features, self.label).persist()
+        data = df.select(*self.features, self.label).dropna().persist()
         w = np.zeros(len(self.features))
         for _ in range(self.max_iter):
             error = sigmoid(linear(self.features, w)) - F.col(self.label)
@@ -143,9 +186,11 @@ class LogisticRegression:
 
 
 @dataclass
-class SoftmaxRegression:
+class SoftmaxRegression(Estimator):
     """Gradient steps from 0 with biases; stops when no gradient entry reaches tol."""
 
+    learned = ("weights",)
+
     features: Sequence[str]
     label: str
     classes: int
@@ -158,7 +203,7 @@ class SoftmaxRegression:
         return [linear(self.features, row[1:], row[0]) for row in w]
 
     def fit(self, df: DataFrame) -> SoftmaxRegression:
-        data = df.select(*self.features, self.label).persist()
+        data = df.select(*self.features, self.label).dropna().persist()
         w = np.zeros((self.classes, len(self.features) + 1))
         for _ in range(self.max_iter):
             errors = [p - (F.col(self.label) == c).cast("double") for c, p in enumerate(softmax(self._scores(w)))]
