@@ -56,7 +56,8 @@ class Estimator:
     def fitted(self) -> bool:
         for name in self.learned:
             value = getattr(self, name)
-            if value is not None and (not hasattr(value, "__len__") or len(value)):
+            # an intercept of 0 tells nothing, learned arrays and flags do
+            if value is True or (hasattr(value, "__len__") and len(value)) or isinstance(value, Estimator):
                 return True
         return not self.learned
 

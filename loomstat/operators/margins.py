@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.vectors import linear
+from loomstat.operators.estimator import Callback, Estimator, TrainingHistory
 
 LOSSES = ("squared", "log", "hinge", "huber")
 HUBER = 1.0
@@ -35,11 +36,13 @@ def loss_and_slope(loss: str, score: Column, y: Column) -> tuple[Column, Column]
 
 
 @dataclass
-class GradientLinear:
+class GradientLinear(Estimator):
     """w -= rate_t (mean slope x + alpha w), rate_t = rate / (1 + alpha t); the intercept isn't penalised; stops when the loss moves less than tol.
 
     Rows with a null feature or label aren't used. No rows leave the weights 0."""
 
+    learned = ("weights", "intercept", "epochs")
+
     features: Sequence[str]
     label: str
     loss: str = "squared"
@@ -56,12 +59,16 @@ class GradientLinear:
         y = F.col(self.label).cast("double")
         return F.when(y > 0, 1.0).otherwise(-1.0) if self.loss == "hinge" else y
 
-    def fit(self, df: DataFrame) -> GradientLinear:
+    @property
+    def task(self) -> str:
+        return "classification" if self.loss in ("log", "hinge") else "regression"
+
+    def fit(self, df: DataFrame, history: TrainingHistory | None = None, callback: Callback | None = None) -> GradientLinear:
         rows = df.select(*[F.col(f).cast("double").alias(f) for f in self.features], self._target().alias("y_"), F.col(self.label).alias("given_")).dropna().drop("given_").cache()
         try:
             self.weights, self.intercept, last = np.zeros(len(self.features)), 0.0, None
             for t in range(self.max_iter):
-                value, slope = loss_and_slope(self.loss, self.score(), F.col("y_"))
+                value, slope = loss_and_slope(self.loss, self.margin(), F.col("y_"))
                 row = rows.select(*self.features, value.alias("loss_"), slope.alias("slope_")).agg(F.avg("loss_"), F.avg("slope_"), *[F.avg(F.col("slope_") * F.col(f)) for f in self.features]).first()
                 if row[0] is None:
                     break
@@ -70,6 +77,7 @@ class GradientLinear:
                 self.weights = self.weights - rate * (np.array(row[2:], float) + self.alpha * self.weights)
                 self.intercept -= rate * row[1] if self.fit_intercept else 0.0
                 self.epochs = t + 1
+                self.report(history, callback, t, loss)
                 if last is not None and abs(last - loss) < self.tol:
                     break
                 last = loss
@@ -77,12 +85,12 @@ class GradientLinear:
             rows.unpersist()
         return self
 
-    def score(self) -> Column:
+    def margin(self) -> Column:
         return linear(self.features, self.weights, self.intercept)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """score and prediction: a class 0 or 1 for log and hinge, else the score."""
-        out = df.withColumn("score", self.score())
+        out = df.withColumn("score", self.margin())
         return out.withColumn("prediction", (F.col("score") >= 0).cast("int") if self.loss in ("log", "hinge") else F.col("score"))
 
 
@@ -95,9 +103,9 @@ class LinearSVC(GradientLinear):
     learning_rate: float = 0.1
     max_iter: int = 200
 
-    def fit(self, df: DataFrame) -> LinearSVC:
+    def fit(self, df: DataFrame, history: TrainingHistory | None = None, callback: Callback | None = None) -> LinearSVC:
         self.alpha = 1.0 / self.c
-        super().fit(df)
+        super().fit(df, history, callback)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

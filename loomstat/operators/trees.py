@@ -7,14 +7,19 @@ each node comes to the driver, so what is collected is bounded by the number of
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.operators.estimator import Estimator
+from loomstat.session import checkpointed
+
 PURE = 1e-10
-CELLS = 512
+CELLS, KEEP = 512, 10
 
 
 @dataclass
@@ -25,15 +30,48 @@ class Node:
     threshold: float = 0.0
     left: int = -1
     right: int = -1
+    shares: list[float] = field(default_factory=list)  # of the classes
+
+
+def cuts_of(rows: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
+    """Of each feature the thresholds of its bins: all midpoints where it has at most `bins` values, else quantiles."""
+    out = []
+    for f in features:
+        values = [r[0] for r in rows.select(f).where(F.col(f).isNotNull()).distinct().orderBy(f).limit(bins + 1).collect()]
+        if len(values) <= bins:
+            out.append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)])
+        else:
+            found = rows.agg(F.percentile_approx(f, [i / bins for i in range(1, bins)], 20_000)).first()[0]
+            top = rows.agg(F.max(f)).first()[0]
+            out.append(sorted({x for x in found if x < top}))
+    return out
+
+
+def binned(rows: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """Adds bins_, an array with the bin of each feature: the number of thresholds below its value."""
+    edges = [np.array(c, float) for c in cuts]
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            found = np.column_stack([np.searchsorted(e, c.to_numpy(float), side="left") for e, c in zip(edges, columns, strict=True)])
+            yield pd.Series(list(found.astype(np.int32)))
+
+    return rows.withColumn("bins_", run(*[F.col(f) for f in features]))
 
 
 @dataclass
-class DecisionTree:
+class DecisionTree(Estimator):
     """Splits `feature <= threshold` at midpoints of neighbouring values; ties to the first feature, then the lowest threshold.
 
     A node stays a leaf at max_depth, under min_split rows, when pure, or when its best split has a side under min_leaf rows or
     gains less than min_gain. Classes are integers, a leaf's tie goes to the lowest; a regression leaf is its mean. Rows with a null
-    feature or label aren't used; at scoring a null goes right."""
+    feature or label aren't used; at scoring a null goes right.
+
+    bins: thresholds come from at most so many bins of a feature (exact where it has no more values); a level is then one aggregate of
+    (node, feature, bin), whose sums, bounded by the bins, come to the driver."""
+
+    learned = ("nodes", "bounds", "classes")
 
     features: Sequence[str]
     label: str
@@ -43,8 +81,10 @@ class DecisionTree:
     min_split: int = 2
     min_leaf: int = 1
     min_gain: float = 0.0
+    bins: int | None = None
     nodes: list[Node] = field(default_factory=list)
     bounds: list[tuple[float, float]] = field(default_factory=list, repr=False)
+    classes: list[int] = field(default_factory=list)
 
     def _sums(self, classes: Sequence[int]) -> dict[str, Column]:
         y = F.col("y_")
@@ -60,9 +100,15 @@ class DecisionTree:
             return sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in shares), F.lit(0.0))
         return F.lit(1.0) - sum((p * p for p in shares), F.lit(0.0))
 
-    def fit(self, df: DataFrame) -> DecisionTree:
-        rows = df.select(*[F.col(f).cast("double").alias(f) for f in self.features], F.col(self.label).cast("double" if self.task == "regression" else "int").alias("y_")).dropna()
+    def fit(self, df: DataFrame, cuts: Sequence[Sequence[float]] | None = None) -> DecisionTree:
+        """cuts: thresholds of rows that have bins_ already."""
+        given = ["bins_"] if cuts is not None else []
+        rows = df.select(*[F.col(f).cast("double").alias(f) for f in self.features], F.col(self.label).cast("double" if self.task == "regression" else "int").alias("y_"), *given).dropna()
+        if self.bins and cuts is None:
+            cuts = cuts_of(rows, self.features, self.bins)
+            rows = binned(rows, self.features, cuts).persist()
         classes = [] if self.task == "regression" else [r[0] for r in rows.select("y_").distinct().orderBy("y_").collect()]
+        self.classes = classes
         parts = 2 if self.task == "regression" else len(classes)
         names = [f"a{i}_" for i in range(parts)]
         top = rows.agg(*[c.alias(n) for n, c in self._sums(classes).items()], *[F.struct(F.min(f), F.max(f)).alias(f"r{i}_") for i, f in enumerate(self.features)]).first()
@@ -71,9 +117,50 @@ class DecisionTree:
         for _ in range(self.max_depth):
             if not open_nodes:
                 break
-            open_nodes = [child for split in self._best(rows, open_nodes, classes, names) for child in self._grow(split, classes, names)]
+            best = self._best(rows, open_nodes, classes, names) if cuts is None else self._best_of_bins(rows, open_nodes, classes, names)
+            open_nodes = [child for split in best for child in self._grow(split, classes, names)]
+        if self.bins and not given:
+            rows.unpersist()
         return self
 
+    def _impurities(self, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """sums: a column for each of the sums."""
+        if self.task == "regression":
+            return np.maximum(sums[:, 1] / n - (sums[:, 0] / n) ** 2, 0.0)
+        p = sums / n[:, None]
+        if self.criterion == "entropy":
+            return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(axis=1)
+        return 1.0 - (p * p).sum(axis=1)
+
+    def _best_of_bins(self, rows: DataFrame, open_nodes: Sequence[int], classes: Sequence[int], names: Sequence[str]) -> list[dict]:
+        cells = F.arrays_zip(F.col("bins_").alias("b_"), F.array(*[F.col(f) for f in self.features]).alias("x_"))
+        at = rows.select(self.node().alias("node_"), "y_", F.posexplode(cells).alias("f_", "cell_")).where(F.col("node_").isin(list(open_nodes)))
+        at = at.select("node_", "y_", "f_", "cell_.b_", "cell_.x_")
+        ends = [F.min("x_").alias("first_"), F.max("x_").alias("last_")]
+        table = at.groupBy("node_", "f_", "b_").agg(*[c.alias(n) for n, c in self._sums(classes).items()], *ends).toPandas().sort_values(["node_", "f_", "b_"])
+        best: dict[int, dict] = {}
+        columns = ["n_", *names]
+        for (node, f), part in table.groupby(["node_", "f_"], sort=True):
+            sums = part[columns].to_numpy(float)
+            if len(part) < 2:
+                continue
+            left = np.cumsum(sums, axis=0)[:-1]
+            total, right = sums.sum(axis=0), sums.sum(axis=0) - left
+            whole = self._impurities(total[:1], total[None, 1:])[0]
+            if whole < PURE:
+                continue
+            li, ri = self._impurities(left[:, 0], left[:, 1:]), self._impurities(right[:, 0], right[:, 1:])
+            gain = np.round(whole - left[:, 0] / total[0] * li - right[:, 0] / total[0] * ri, 12)
+            i = int(gain.argmax())
+            if node in best and gain[i] <= best[node]["gain_"]:
+                continue
+            split = float(part["last_"].iloc[i] + part["first_"].iloc[i + 1]) / 2
+            found = {"node_": int(node), "gain_": float(gain[i]), "f_": int(f), "split_": split, "li_": float(li[i]), "ri_": float(ri[i])}
+            for side, values in (("l", left[i]), ("r", right[i])):
+                found |= {f"{side}{c}": float(v) for c, v in zip(columns, values, strict=True)}
+            best[node] = found
+        return [best[n] for n in sorted(best)]
+
     def _splittable(self, rows: DataFrame, classes: Sequence[int]) -> bool:
         return self.nodes[0].n >= self.min_split and (self.task == "regression" or len(classes) > 1)
 
@@ -84,7 +171,7 @@ class DecisionTree:
         if self.task == "regression":
             return Node(sums["a0_"] / n, n)
         best = max(range(len(classes)), key=lambda i: (sums[names[i]], -i))
-        return Node(float(classes[best]), n)
+        return Node(float(classes[best]), n, shares=[sums[name] / n for name in names])
 
     def _best(self, rows: DataFrame, open_nodes: Sequence[int], classes: Sequence[int], names: Sequence[str]) -> list:
         """The best split of each open node: node, feature index, threshold, left and right sums."""
@@ -146,9 +233,24 @@ class DecisionTree:
         cast = float if self.task == "regression" else int
         return self._route(lambda i: cast(self.nodes[i].value) if self.nodes[i].n else None)
 
+    def probabilities(self) -> Column:
+        """Of the classes in ascending order: their shares in the row's leaf."""
+        shares = F.array(*[F.array(*[F.lit(x) for x in (n.shares or [None] * len(self.classes))]) for n in self.nodes])
+        return F.element_at(shares, self.node() + 1)
+
     def transform(self, df: DataFrame) -> DataFrame:
+        self.check_fitted()
         return df.withColumn("prediction", self.predict())
 
+    def importances(self) -> dict[str, float]:
+        """Shares of the rows that each feature's splits part, the root's counting most."""
+        sums = {f: 0.0 for f in self.features}
+        for n in self.nodes:
+            if n.feature is not None:
+                sums[n.feature] += n.n
+        total = sum(sums.values())
+        return {f: v / total if total else 0.0 for f, v in sums.items()}
+
     def text(self, at: int = 0, depth: int = 0) -> str:
         """Indented rules."""
         node, pad = self.nodes[at], "  " * depth
@@ -158,10 +260,13 @@ class DecisionTree:
 
 
 @dataclass
-class RandomForest:
+class RandomForest(Estimator):
     """Trees on Poisson bootstrap weights of the rows' keys; a class by hard votes (ties to the lowest), or the mean of the trees.
 
-    A row's number of repeats in a tree follows from its key and the seed, so fits can be repeated at any partitioning."""
+    A row's number of repeats in a tree follows from its key and the seed, so fits can be repeated at any partitioning. max_features > 0 draws so
+    many features for each tree. Binned, the rows are binned once for all trees. With a bootstrap, oob_score judges rows by the trees without them."""
+
+    learned = ("trees", "classes")
 
     features: Sequence[str]
     label: str
@@ -173,7 +278,10 @@ class RandomForest:
     min_leaf: int = 1
     bootstrap: bool = True
     seed: int = 42
+    max_features: int = 0
+    bins: int | None = None
     trees: list[DecisionTree] = field(default_factory=list)
+    classes: list[int] = field(default_factory=list)
 
     def _repeats(self, tree: int) -> Column:
         share = F.pmod(F.xxhash64(F.col(self.key), F.lit(self.seed), F.lit(tree)), F.lit(1 << 30)) / float(1 << 30)
@@ -183,31 +291,65 @@ class RandomForest:
             steps.append((share >= total).cast("int"))
         return sum(steps[1:], steps[0])
 
+    def _features(self, tree: int) -> list[str]:
+        if not 0 < self.max_features < len(self.features):
+            return list(self.features)
+        drawn = np.random.default_rng([self.seed, tree]).choice(len(self.features), self.max_features, replace=False)
+        return [self.features[i] for i in sorted(drawn.tolist())]
+
     def fit(self, df: DataFrame) -> RandomForest:
-        self.trees = []
-        for t in range(self.n_trees):
-            rows = df
-            if self.bootstrap:
-                rows = df.withColumn("times_", self._repeats(t)).where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
-            self.trees.append(DecisionTree(self.features, self.label, self.task, max_depth=self.max_depth, min_split=self.min_split, min_leaf=self.min_leaf).fit(rows))
+        kind = "double" if self.task == "regression" else "int"
+        data = df.select(self.key, *[F.col(f).cast("double").alias(f) for f in self.features], F.col(self.label).cast(kind).alias(self.label)).dropna().persist()
+        try:
+            self.classes = [] if self.task == "regression" else [r[0] for r in data.select(self.label).distinct().orderBy(self.label).collect()]
+            self.trees = []
+            for t in range(self.n_trees):
+                rows = data
+                if self.bootstrap:
+                    rows = data.withColumn("times_", self._repeats(t)).where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
+                self.trees.append(DecisionTree(self._features(t), self.label, self.task, max_depth=self.max_depth, min_split=self.min_split, min_leaf=self.min_leaf, bins=self.bins).fit(rows))
+        finally:
+            data.unpersist()
         return self
 
-    def predict(self) -> Column:
-        votes = F.array(*[t.predict() for t in self.trees])
+    def _voted(self, votes: Column) -> Column:
         if self.task == "regression":
-            return F.aggregate(votes, F.lit(0.0), lambda s, x: s + x) / len(self.trees)
+            return F.try_divide(F.aggregate(votes, F.lit(0.0), lambda s, x: s + x), F.size(votes))
         ranked = F.transform(F.array_distinct(votes), lambda c: F.struct(F.size(F.filter(votes, lambda v: v == c)).alias("n"), (-c).alias("c")))
         return -F.array_max(ranked)["c"]
 
+    def predict(self) -> Column:
+        return self._voted(F.array(*[t.predict() for t in self.trees]))
+
+    def probabilities(self) -> Column:
+        """Mean over the trees of the leaf's shares, by class of the forest."""
+        per_tree = [dict(zip(t.classes, range(len(t.classes)), strict=True)) for t in self.trees]
+        each = [[F.get(t.probabilities(), F.lit(at[c])) if c in at else F.lit(0.0) for t, at in zip(self.trees, per_tree, strict=True)] for c in self.classes]
+        return F.array(*[sum(parts[1:], parts[0]) / len(self.trees) for parts in each])
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", self.predict())
+        self.check_fitted()
+        out = df.withColumn("prediction", self.predict())
+        return out if self.task == "regression" else out.withColumn("probabilities", self.probabilities())
+
+    def oob_score(self, df: DataFrame) -> float:
+        """Accuracy or R2 over the rows that some tree hasn't seen, by the votes of such trees."""
+        from loomstat.operators.estimator import accuracy, r_squared
+
+        votes = F.filter(F.array(*[F.when(self._repeats(t) == 0, tree.predict()) for t, tree in enumerate(self.trees)]), lambda v: v.isNotNull())
+        held = df.withColumn("votes_", votes).where("size(votes_) > 0").withColumn("prediction", self._voted(F.col("votes_")))
+        return (r_squared if self.task == "regression" else accuracy)(held, self.label)
 
 
 @dataclass
-class GradientBoosting:
+class GradientBoosting(Estimator):
     """Regression trees on residuals; binary labels by the logistic loss from the log-odds, others by squares from the mean.
 
-    task None takes it from the labels: classification where no integer label is above 1."""
+    task None takes it from the labels: classification where no integer label is above 1. Rows are binned once (`bins` None: exact splits) and carry
+    their running score, so a round's plan doesn't hold the trees before it; every `KEEP` rounds the rows are written to cut their lineage.
+    subsample < 1 fits each tree on so large a share, by a hash of the row and the round."""
+
+    learned = ("trees", "start")
 
     features: Sequence[str]
     label: str
@@ -218,28 +360,48 @@ class GradientBoosting:
     min_split: int = 2
     start: float = 0.0
     trees: list[DecisionTree] = field(default_factory=list)
+    subsample: float = 1.0
+    bins: int | None = 256
+    seed: int = 42
 
     def fit(self, df: DataFrame) -> GradientBoosting:
-        rows = df.select(*self.features, F.col(self.label).cast("double").alias(self.label)).dropna()
-        mean, top = rows.agg(F.avg(self.label), F.max(F.col(self.label).cast("int"))).first()
+        rows = df.select(*[F.col(f).cast("double").alias(f) for f in self.features], F.col(self.label).cast("double").alias("label_")).dropna()
+        mean, top = rows.agg(F.avg("label_"), F.max(F.col("label_").cast("int"))).first()
         self.trees, self.start = [], 0.0
         self.task = self.task or ("classification" if top is not None and top <= 1 else "regression")
         if mean is None:
             return self
         share = min(max(mean, 1e-15), 1 - 1e-15)
         self.start = math.log(share / (1 - share)) if self.task == "classification" else mean
-        for _ in range(self.n_trees):
-            score = self.score()
-            target = F.col(self.label) - (1 / (1 + F.exp(-score)) if self.task == "classification" else score)
-            self.trees.append(DecisionTree(self.features, "residual_", "regression", max_depth=self.max_depth, min_split=self.min_split).fit(rows.withColumn("residual_", target)))
+        cuts = None
+        if self.bins:
+            cuts = cuts_of(rows, self.features, self.bins)
+            rows = binned(rows, self.features, cuts)
+        now = rows.withColumn("score_", F.lit(self.start)).persist()
+        for t in range(self.n_trees):
+            guess = 1 / (1 + F.exp(-F.col("score_"))) if self.task == "classification" else F.col("score_")
+            taken = now.withColumn("residual_", F.col("label_") - guess)
+            if self.subsample < 1:
+                drawn = F.pmod(F.xxhash64(*self.features, "label_", F.lit(self.seed), F.lit(t)), F.lit(1 << 30)) / float(1 << 30)
+                taken = taken.where(drawn < self.subsample)
+            tree = DecisionTree(self.features, "residual_", "regression", max_depth=self.max_depth, min_split=self.min_split).fit(taken, cuts)
+            self.trees.append(tree)
+            before, now = now, now.withColumn("score_", F.col("score_") + self.learning_rate * F.coalesce(tree.predict(), F.lit(0.0)))
+            now = (checkpointed(now) if t % KEEP == KEEP - 1 else now).persist()
+            now.count()
+            before.unpersist()
+        now.unpersist()
         return self
 
-    def score(self) -> Column:
+    def margin(self) -> Column:
         return sum((self.learning_rate * t.predict() for t in self.trees), F.lit(self.start))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        score = self.score()
+        # some trees a column, so that no expression outgrows what code generation takes
+        out = df.withColumn("margin_", F.lit(self.start))
+        for at in range(0, len(self.trees), KEEP):
+            out = out.withColumn("margin_", F.col("margin_") + sum((self.learning_rate * t.predict() for t in self.trees[at : at + KEEP]), F.lit(0.0)))
         if self.task == "regression":
-            return df.withColumn("prediction", score)
-        p = 1 / (1 + F.exp(-score))
-        return df.withColumn("probability", p).withColumn("prediction", (p >= 0.5).cast("int"))
+            return out.withColumnRenamed("margin_", "prediction")
+        out = out.withColumn("probability", 1 / (1 + F.exp(-F.col("margin_")))).drop("margin_")
+        return out.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))

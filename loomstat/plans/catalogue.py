@@ -354,3 +354,6 @@ def _(spark, d):
 def _(spark, d):
     x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return density.dbscan(x, ["x", "y"], 0.05, 5).select("id", "core", (F.col("cluster") == -1).alias("noise"))
+
+# registers further queries
+from loomstat.plans import learners  # noqa: E402, F401

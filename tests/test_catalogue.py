@@ -28,3 +28,8 @@ def test_query(spark, sf_dir, sql, name):
     expected = sql.sql(CATALOGUE.oracle()[name])
     assert sorted(df.columns) == sorted(expected.columns)
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(CATALOGUE.builders()) - set(CATALOGUE.oracle())))
+def test_query_without_sql_gives_rows(spark, sf_dir, name):
+    assert CATALOGUE.builders()[name](spark, sf_dir).count() > 0
