@@ -9,7 +9,7 @@ import time
 from loomstat.plans.catalogue import CATALOGUE
 from loomstat.session import local_session
 
-HEADLINE = ["pipeline_linreg", "linreg_predict", "standardize", "matrix_gram", "f_classif", "mutual_info_classif", "logreg_gd", "gaussian_nb_fit", "knn_predict", "kmeans_assign", "train_test_split", "kfold_assign", "confusion_multi", "decision_tree_stump", "regression_tree_stump", "sgd_log", "decision_tree_predict", "random_forest", "gradient_boosting", "kmeans_lloyd", "dbscan_labels", "silhouette", "mlp_fit", "conv2d_forward", "isolation_forest_scores"]
+HEADLINE = ["pipeline_linreg", "linreg_predict", "standardize", "matrix_gram", "f_classif", "mutual_info_classif", "logreg_gd", "gaussian_nb_fit", "knn_predict", "kmeans_assign", "train_test_split", "kfold_assign", "confusion_multi", "decision_tree_stump", "regression_tree_stump", "sgd_log", "decision_tree_predict", "random_forest", "gradient_boosting", "kmeans_lloyd", "dbscan_labels", "mlp_fit", "conv2d_forward", "isolation_forest_scores"]
 
 
 def main() -> None:
