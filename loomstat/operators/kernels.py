@@ -73,6 +73,8 @@ class SVMClassifier(Estimator):
         @F.pandas_udf("double")
         def margin(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in batches:
+                # one column comes bare
+                columns = (columns,) if isinstance(columns, pd.Series) else columns
                 x = np.column_stack([c.to_numpy(float) for c in columns])
                 yield pd.Series(_kernel(x, vectors, gamma) @ alphas + bias if len(alphas) else np.zeros(len(x)))
 

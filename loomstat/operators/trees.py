@@ -54,6 +54,8 @@ def binned(rows: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[flo
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            # one column comes bare
+            columns = (columns,) if isinstance(columns, pd.Series) else columns
             found = np.column_stack([np.searchsorted(e, c.to_numpy(float), side="left") for e, c in zip(edges, columns, strict=True)])
             yield pd.Series(list(found.astype(np.int32)))
 

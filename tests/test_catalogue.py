@@ -32,4 +32,5 @@ def test_query(spark, sf_dir, sql, name):
 
 @pytest.mark.parametrize("name", sorted(set(CATALOGUE.builders()) - set(CATALOGUE.oracle())))
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
-    assert CATALOGUE.builders()[name](spark, sf_dir).count() > 0
+    # collected: a count would leave out the columns that a query is about
+    assert CATALOGUE.builders()[name](spark, sf_dir).collect()
