@@ -9,7 +9,8 @@ from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours to the smallest of them. The join streams a hub's neighbours past its one smallest, so none are held as a list."""
+    """Links each node's neighbours to the smallest of them. The join streams a hub's neighbours past its one smallest, so none are held as a list.
+    The same edge may come out of several nodes; a large star gives no more rows than it was given, a small one at most twice as many."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = both.join(low, "a")
@@ -17,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -25,7 +26,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
-        before, now = now, stored(_star(_star(now, True), False), name)
+        before, now = now, stored(_star(_star(now, True), False).distinct(), name)
         discard(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:

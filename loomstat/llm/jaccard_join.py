@@ -22,7 +22,6 @@ Columns besides doc_id and text aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -240,21 +239,30 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
     return pairs
 
 
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """sig, root after further links a, b. Only the components that the links join are looked at, each as one node; a set in none is its own."""
+    at_a = roots.select(F.col("sig").alias("a"), F.col("root").alias("ra"))
+    at_b = roots.select(F.col("sig").alias("b"), F.col("root").alias("rb"))
+    edges = links.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = components(edges).toDF("root", "new")
+    kept = roots.join(merged, "root", "left").select("sig", F.coalesce("new", "root").alias("root"))
+    added = merged.join(roots.select(F.col("sig").alias("root")), "root", "left_anti").select(F.col("root").alias("sig"), F.col("new").alias("root"))
+    return kept.unionByName(added)
+
+
 def similarity_classes(sets: DataFrame, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """sig, root: the component of each set that links with another. sets: sig (distinct), n, tokens, df."""
     posts = stored(_postings(sets, percent, longest), "postings")
-    links = [stored(_verified(_hub_pairs(posts, percent), sets, percent), "links")]
-    every = lambda: reduce(DataFrame.unionByName, links)
+    links = stored(_verified(_hub_pairs(posts, percent), sets, percent), "links")
+    named = stored(components(links).toDF("sig", "root"), "roots")
+    discard(links)
     for only_best in (True, False):
-        roots = components(every()).toDF("sig", "root")
-        named = stored(roots, "roots")
         pairs = _crossing_pairs(posts, named, percent, only_best)
-        links.append(stored(_verified(pairs, sets, percent), "links"))
-        discard(pairs, named)
+        links = stored(_verified(pairs, sets, percent), "links")
+        before, named = named, stored(_joined_roots(named, links), "roots")
+        discard(pairs, links, before)
     discard(posts)
-    out = stored(components(every()).toDF("sig", "root"), "roots")
-    discard(*links)
-    return out
+    return named
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
