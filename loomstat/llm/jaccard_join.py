@@ -210,13 +210,17 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
     parts = joined.groupBy("token", "root").agg(F.max("of").alias("of"))
     major = parts.groupBy("token").agg(F.max_by("root", F.struct("of", "root")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
     lists = stored(joined.join(major, "token").withColumn("grade", grade), "lists")
-    cut = lists.groupBy("token", "grade").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"))
+    # a table of its own, so that a hot token's rows needn't meet in one task for the join with it
+    cut = stored(lists.groupBy("token", "grade").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks")), "cuts")
     member = F.struct("sig", F.col("n").cast("int").alias("n"), F.col("over").cast("int").alias("over"), F.col("l").cast("smallint").alias("l"), "root", "of")
-    blocks = lists.join(cut, ["token", "grade"]).groupBy("token", "grade", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(member).alias("members"))
+    key = ["token", "grade", "block"]
+    parted = lists.join(cut, ["token", "grade"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    # by the whole key: the planner would let the join's partitions by token and grade do
+    blocks = parted.repartition(*key).groupBy(*key).agg(F.collect_list(member).alias("members"))
     packed_blocks = blocks.select("token", "grade", "block", *[F.col(f"members.{c}").alias(c) for c in ("sig", "n", "over", "l", "root", "of")])
     minor = lists.where(F.col("root") != F.col("major")).select("token", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), *[F.col(c).alias(f"z{c}") for c in ("sig", "n", "over", "l", "root", "of")])
     reach = minor.join(cut, ["token", "grade"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = reach.join(packed_blocks, ["token", "grade", "block"])
+    met = reach.join(packed_blocks, key)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         z, zn, zl, zroot, zof = (int(pdf[c].iloc[0]) for c in ("zsig", "zn", "zl", "zroot", "zof"))
@@ -235,7 +239,7 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
         return pd.DataFrame({"a": np.minimum(found, z), "b": np.maximum(found, z)})
 
     pairs = stored(met.groupBy("zsig").applyInPandas(count, "a long, b long").distinct(), "pairs")
-    discard(lists)
+    discard(lists, cut)
     return pairs
 
 

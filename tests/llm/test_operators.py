@@ -185,6 +185,28 @@ def test_near_copy_of_a_set_with_many_copies(spark):
     assert {r.component_id: r["count"] for r in got} == {-1: 66_001, -2: 1}
 
 
+def test_crossing_pairs_over_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {s: (rng.choice([8, 10, 12, 40]), rng.choice([1, 2])) for s in range(60)}
+    # token 0 is in every set
+    held = {s: {t: rng.randint(-3, 1) for t in [0, *rng.sample(range(1, 12), 4)]} for s in sets}
+    roots = {s: 0 if s < 10 else 10 for s in range(15)}
+    posts = spark.createDataFrame([(t, s, sets[s][0], over, sets[s][1]) for s in sets for t, over in held[s].items()], "token long, sig long, n long, over long, l long")
+    named = spark.createDataFrame(list(roots.items()), "sig long, root long")
+    expected = set()
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            (n, l), (m, k) = sets[a], sets[b]
+            least = min(l, k)
+            shared = sum(max(held[a][t], held[b][t]) < least for t in held[a].keys() & held[b].keys())
+            if roots.get(a, a) != roots.get(b, b) and 100 * min(n, m) >= 75 * max(n, m) and shared >= jaccard_join.least_shared(n, m, least):
+                expected.add((a, b))
+    assert len(expected) > 50
+    for size in (3, 2048):
+        monkeypatch.setattr(jaccard_join, "LIST", size)
+        assert set(map(tuple, jaccard_join._crossing_pairs(posts, named, 75, False).collect())) == expected
+
+
 def test_url_filter(spark):
     rng = random.Random(3)
     hosts = ["example.net", "a.example.net", "notexample.net", "x.org", "org", "m.spam-x.com", "example.com", "EXAMPLE.COM", "net", ".net", "net.org:80"]
