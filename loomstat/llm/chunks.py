@@ -105,6 +105,8 @@ class Chunk:
             sizes.append(np.diff(at))
         self.data = np.concatenate([np.zeros(0, np.uint8), *parts])
         self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        # the texts are held once
+        self.table = self.table.drop_columns(["text"])
 
     def texts(self) -> Iterator[bytes]:
         ends = np.cumsum(self.sizes)
@@ -155,11 +157,13 @@ def unpack40(blob: bytes) -> np.ndarray:
 
 def by_bucket(squeezed: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(bucket, slice) over sorted squeezed keys."""
-    of = (squeezed >> np.uint64(40)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(of)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+    if not len(squeezed):
+        return
+    least, most = int(squeezed[0] >> np.uint64(40)), int(squeezed[-1] >> np.uint64(40))
+    cuts = np.searchsorted(squeezed, np.arange(least, most + 2, dtype=np.uint64) << np.uint64(40)).tolist()
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), least):
         if b > a:
-            yield int(of[a]), slice(a, b)
+            yield k, slice(a, b)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -185,6 +189,18 @@ def census_rows(chunk: int, squeezed: np.ndarray, counts: np.ndarray) -> pd.Data
     return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "counts"])
 
 
+def counted_rows(chunk: int, every: np.ndarray) -> pd.DataFrame:
+    """Rows of CENSUS from a chunk's squeezed keys with their repetitions. They are sorted in place and counted a bucket at a time, so that no second array
+    of their length is held."""
+    every.sort()
+    out = []
+    for _, part in by_bucket(every):
+        own = every[part]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out.append(census_rows(chunk, own[first], np.diff(first, append=len(own))))
+    return pd.concat(out, ignore_index=True) if out else census_rows(chunk, every, np.zeros(0, np.int64))
+
+
 def wide_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
     """Rows of CENSUS with whole 64-bit keys, in buckets below 0: for keys of which a false match would lose something."""
     of = (keys % np.uint64(buckets)).astype(np.int64)
@@ -193,20 +209,32 @@ def wide_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, those of its keys that all chunks together hold at least twice, with their numbers."""
+    """For each chunk, those of its keys that all chunks together hold at least twice, with their numbers. A chunk's keys are distinct, so its
+    numbers add up by place; they are unpacked a chunk at a time, as all of them at once would take several times the bucket's size."""
     wide = pdf["bucket"].iloc[0] < 0
-    keys = [np.frombuffer(k, "<u8") if wide else unpack40(k) for k in pdf["keys"]]
-    counts = [unpack_counts(c, len(k)) if c else np.ones(len(k), np.int64) for k, c in zip(keys, pdf["counts"], strict=True)]
-    every, tally = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    every, tally = every[order], tally[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    total = np.add.reduceat(tally, first)
-    known, total = every[first][total > 1], total[total > 1]
+    size = 8 if wide else 5
+
+    def keys(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, "<u8") if wide else unpack40(blob)
+
+    every, at = np.empty(sum(map(len, pdf["keys"])) // size, np.uint64), 0
+    for blob in pdf["keys"]:
+        own = keys(blob)
+        every[at : at + len(own)] = own
+        at += len(own)
+    every.sort()
+    every = every[np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]])]
+    total = np.zeros(len(every), np.int64)
+    for blob, c in zip(pdf["keys"], pdf["counts"], strict=True):
+        own = keys(blob)
+        total[np.searchsorted(every, own)] += unpack_counts(c, len(own)) if c else 1
+    known, total = every[total > 1], total[total > 1]
+    del every
     out = []
-    for chunk, bucket, own in zip(pdf["chunk"], pdf["bucket"], keys, strict=True):
+    for chunk, bucket, blob in zip(pdf["chunk"], pdf["bucket"], pdf["keys"], strict=True):
         if not len(known):
             continue
+        own = keys(blob)
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         hit = known[at] == own
         if hit.any():
@@ -221,14 +249,21 @@ def repeated_keys(census: DataFrame) -> DataFrame:
 
 def answers(pdf: pd.DataFrame, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(sorted keys, counts) of one chunk's answers: squeezed keys, or the wide ones."""
-    pdf = pdf[(pdf["bucket"] < 0) == wide]
+    pdf = pdf[(pdf["bucket"] < 0) == wide].sort_values("bucket")
     if not len(pdf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     size = 8 if wide else 5
-    keys = np.concatenate([np.frombuffer(k, "<u8") if wide else unpack40(k) | (np.uint64(b) << np.uint64(40)) for b, k in zip(pdf["bucket"], pdf["keys"], strict=True)])
-    counts = np.concatenate([unpack_counts(c, len(k) // size) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], counts[order]
+    keys, counts, at = np.empty(sum(map(len, pdf["keys"])) // size, np.uint64), np.empty(sum(map(len, pdf["keys"])) // size, np.int64), 0
+    for b, k, c in zip(pdf["bucket"], pdf["keys"], pdf["counts"], strict=True):
+        n = len(k) // size
+        keys[at : at + n] = np.frombuffer(k, "<u8") if wide else unpack40(k) | (np.uint64(b) << np.uint64(40))
+        counts[at : at + n] = unpack_counts(c, n)
+        at += n
+    # buckets are ranges of keys, sorted within; wide keys are dealt to buckets by remainder
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    return keys, counts
 
 
 def looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray, default: int) -> np.ndarray:

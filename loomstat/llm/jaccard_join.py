@@ -29,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CENSUS, Chunk, answered, answers, bucket_count, census_rows, frame, looked_up, pack_counts, packed, per_chunk, repeated_keys, squeeze, unpack_counts, wide_rows
+from .chunks import CENSUS, Chunk, answered, answers, bucket_count, counted_rows, frame, looked_up, pack_counts, packed, per_chunk, repeated_keys, squeeze, unpack_counts, wide_rows
 from .common import discard, stored, unused
 from .components import components
 
 WIDTH, PERCENT, LONGEST = 5, 75, 32
+KNOWN = 1 << 17  # words whose hashes a task keeps; all are hashed, some again
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +54,7 @@ class Shingler:
         parts, known = text.translate(_LOWER).split(), self.words
         if not parts:
             return np.zeros(0, np.uint64)
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in parts:
             if w not in known:
@@ -82,12 +83,16 @@ def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     buckets = bucket_count(docs)
 
     def census(number: int, chunk: Chunk) -> pd.DataFrame:
-        found = [s for s in map(Shingler(width), chunk.texts()) if len(s)]
-        if not found:
-            return census_rows(number, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        shingles = census_rows(number, *np.unique(squeeze(np.concatenate(found), buckets), return_counts=True))
+        shingle, found, signatures = Shingler(width), [np.zeros(0, np.uint64)], []
+        for s in map(shingle, chunk.texts()):
+            if len(s):
+                found.append(squeeze(s, buckets))
+                signatures.append(_signature(s))
+        del shingle
+        every = np.concatenate(found)
+        del found
         # a false match of signatures could make a set look like a mere copy, hence all 64 bits
-        return pd.concat([shingles, wide_rows(number, *np.unique(np.array([_signature(s) for s in found], np.uint64), return_counts=True), buckets)])
+        return pd.concat([counted_rows(number, every), wide_rows(number, *np.unique(np.array(signatures, np.uint64), return_counts=True), buckets)])
 
     replies = repeated_keys(per_chunk(chunks, census, CENSUS))
 
