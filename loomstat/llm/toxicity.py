@@ -209,6 +209,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0]) - slope * float(middle), slope
 
 
+def _tables(per_gram: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Of each class the sorted grams with their counts. They come to the driver as packed arrays, a few rows a task: a Row object for each gram
+    would take 50 times its size there."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for side, own in b.groupby("toxic"):
+                yield pd.DataFrame({"toxic": [side], "grams": [own["value"].to_numpy("<i8").tobytes()], "counts": [own["n"].to_numpy("<i8").tobytes()]})
+
+    rows, out = per_gram.mapInPandas(pack, "toxic int, grams binary, counts binary").collect(), []
+    for side in (0, 1):
+        grams, counts = (np.frombuffer(b"".join(r[c] for r in rows if r["toxic"] == side), "<i8") for c in ("grams", "counts"))
+        order = np.argsort(grams)
+        out.append((grams[order], counts[order]))
+    return tuple(out)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """labels: doc_id, toxic; only its rows are learnt from. At most per_class rows of a class are used, four fifths for the counts."""
     ranked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
@@ -231,8 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         for values, side in _stretches(batches, lambda p: _grams(lookup[p])):
             yield _count(values, side, "value")
 
-    per_gram = counted.mapInPandas(grams, "toxic int, value long, n long").groupBy("toxic", "value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
-    tables = tuple((g["value"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for g in (per_gram[per_gram["toxic"] == side] for side in (0, 1)))
+    tables = _tables(counted.mapInPandas(grams, "toxic int, value long, n long").groupBy("toxic", "value").agg(F.sum("n").alias("n")))
     model = Model(symbols, tables)
     if not len(tables[0][0]) or not len(tables[1][0]):
         return model

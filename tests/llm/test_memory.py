@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from loomstat.llm import chunks, jaccard_join
+from loomstat.llm import chunks, jaccard_join, toxicity
 
 
 def peak(run):
@@ -50,3 +50,19 @@ def test_a_shingler_keeps_a_bounded_number_of_words():
     kept = [shingle(t) for t in texts]
     assert len(shingle.words) <= (1 << 17) + 1000
     assert all((a == jaccard_join.Shingler()(t)).all() for a, t in zip(kept[::50], texts[::50], strict=True))
+
+
+def test_training_keeps_no_object_for_each_gram_on_the_driver(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèêáàóòúùñçABCDEFG0123456789"))
+    docs = spark.createDataFrame([(i, "".join(rng.choice(letters, 600))) for i in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    arrow = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # Spark's default
+    try:
+        model, most = peak(lambda: toxicity.train(docs, labels))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    grams = sum(len(keys) for keys, _ in model.tables)
+    assert grams > 50_000 and all((np.diff(keys) > 0).all() and (counts > 0).all() for keys, counts in model.tables)
+    assert most < 100 * grams + (6 << 20)
