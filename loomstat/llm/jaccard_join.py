@@ -34,6 +34,7 @@ from .common import discard, stored, unused
 from .components import components
 
 WIDTH, PERCENT, LONGEST = 5, 75, 32
+CHUNK_MB = 12  # a task's arrays take about 15 times its chunk's text
 KNOWN = 1 << 17  # words whose hashes a task keeps; all are hashed, some again
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -79,8 +80,8 @@ def _signature(tokens: np.ndarray) -> int:
 
 def _linking_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, sig for each row; tokens and frequencies too for one row of a set and chunk that may link with another set."""
-    chunks = packed(docs)
-    buckets = bucket_count(docs)
+    chunks = packed(docs, mb=CHUNK_MB)
+    buckets = bucket_count(docs, mb=CHUNK_MB)
 
     def census(number: int, chunk: Chunk) -> pd.DataFrame:
         shingle, found, signatures = Shingler(width), [np.zeros(0, np.uint64)], []
@@ -188,6 +189,8 @@ def least_shared(n: np.ndarray, m: int, l: np.ndarray, percent: int = PERCENT) -
 
 
 LIST = 2048  # sets in a block of a posting list
+MEMBER = ("sig", "n", "over", "l", "root", "of")
+PAIRS, HELD = 1 << 18, 1 << 22  # pairs of two blocks looked at together, bytes of partners sent on together
 
 
 def _hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -198,14 +201,30 @@ def _hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
 
 
+def _met(minors: tuple, members: tuple, percent: int, roots: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Of two blocks of a posting list: for each minor set the members of higher components that its size and both prefixes allow, with the
+    number of prefix tokens that the two must share, and the members' roots if they are asked for. Pairs ruled out here reach no disk."""
+    minors, members = (tuple(np.asarray(x, np.int64) for x in side) for side in (minors, members))
+    sig, n, over, l, root, of = (x[None] for x in members)
+    step = max(1, PAIRS // sig.size)
+    for at in range(0, len(minors[0]), step):
+        zsig, zn, zover, zl, zroot, zof = (x[at : at + step, None] for x in minors)
+        least = np.minimum(l, zl)
+        ok = ((of > zof) | ((of == zof) & (root > zroot))) & (100 * np.minimum(n, zn) >= percent * np.maximum(n, zn)) & (over < least) & (zover < least)
+        for i in np.flatnonzero(ok.any(axis=1)).tolist():
+            own = np.flatnonzero(ok[i])
+            need = least_shared(n[0, own], int(zn[i, 0]), least[i, own], percent)
+            yield int(zsig[i, 0]), sig[0, own].tobytes(), pack_counts(need), root[0, own].tobytes() if roots else b""
+
+
 def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best: bool) -> DataFrame:
     """Pairs of sets of different components that share as many prefix tokens as they must; only_best: for each set outside the largest
     component of a posting list and each component it meets, the partner with most.
 
     A posting list that holds one component is left out. The others are parted by size class, a factor of 100 / percent wide, as
     sets more than a class apart can't link, and each part is cut by a hash into blocks of about LIST sets, one row each. Each set outside the largest
-    component meets the blocks of its own and the two neighbouring classes; the join's key holds the block, so that a hot token's
-    blocks are dealt over many tasks. A set's blocks are then counted together."""
+    component, in blocks as well, meets the blocks of its own and the two neighbouring classes; the join's key holds the block, so that a hot token's
+    blocks are dealt over many tasks. What _met() leaves of a set's partners is then counted together."""
     # components are ordered by size; of a pair, the set of the lower component is outside the largest one in every list that holds both
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("of"))
     graded = roots.join(sizes, "root")
@@ -216,34 +235,50 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
     major = parts.groupBy("token").agg(F.max_by("root", F.struct("of", "root")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
     lists = stored(joined.join(major, "token").withColumn("grade", grade), "lists")
     # a table of its own, so that a hot token's rows needn't meet in one task for the join with it
-    cut = stored(lists.groupBy("token", "grade").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks")), "cuts")
-    member = F.struct("sig", F.col("n").cast("int").alias("n"), F.col("over").cast("int").alias("over"), F.col("l").cast("smallint").alias("l"), "root", "of")
-    key = ["token", "grade", "block"]
-    parted = lists.join(cut, ["token", "grade"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    # by the whole key: the planner would let the join's partitions by token and grade do
-    blocks = parted.repartition(*key).groupBy(*key).agg(F.collect_list(member).alias("members"))
-    packed_blocks = blocks.select("token", "grade", "block", *[F.col(f"members.{c}").alias(c) for c in ("sig", "n", "over", "l", "root", "of")])
-    minor = lists.where(F.col("root") != F.col("major")).select("token", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)).alias("grade"), *[F.col(c).alias(f"z{c}") for c in ("sig", "n", "over", "l", "root", "of")])
-    reach = minor.join(cut, ["token", "grade"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = reach.join(packed_blocks, key)
+    of_list = F.when(F.col("root") != F.col("major"), F.lit(1))
+    cut = stored(lists.groupBy("token", "grade").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"), F.ceil(F.count(of_list) / LIST).cast("int").alias("zblocks")), "cuts")
+
+    def packed_blocks(rows: DataFrame, blocks: str, prefix: str = "") -> DataFrame:
+        """One row for each block of a list's part, with its sets as arrays."""
+        member = F.struct("sig", F.col("n").cast("int").alias("n"), F.col("over").cast("int").alias("over"), F.col("l").cast("smallint").alias("l"), "root", "of")
+        parted = rows.join(cut, ["token", "grade"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col(blocks)).cast("int"))
+        # by the whole key: the planner would let the join's partitions by token and grade do
+        key = ["token", "grade", "block"]
+        gathered = parted.repartition(*key).groupBy(*key).agg(F.collect_list(member).alias("members"))
+        return gathered.select(*key, *[F.col(f"members.{c}").alias(prefix + c) for c in MEMBER])
+
+    minor = packed_blocks(lists.where(F.col("root") != F.col("major")), "zblocks", "z").drop("block")
+    minor = minor.withColumn("grade", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)))
+    reach = minor.join(cut, ["token", "grade"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "zblocks")
+    met = reach.join(packed_blocks(lists, "blocks"), ["token", "grade", "block"]).select(*["z" + c for c in MEMBER], *MEMBER)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, held = [], 0
+            for row in b.itertuples(index=False, name=None):
+                for found in _met(row[: len(MEMBER)], row[len(MEMBER) :], percent, only_best):
+                    rows.append(found)
+                    held += len(found[1])
+                    if held > HELD:
+                        yield pd.DataFrame(rows, columns=["z", "sig", "need", "root"])
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["z", "sig", "need", "root"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, zn, zl, zroot, zof = (int(pdf[c].iloc[0]) for c in ("zsig", "zn", "zl", "zroot", "zof"))
-        sig, n, over, l, root, of = (np.concatenate(pdf[c].tolist()).astype(np.int64) for c in ("sig", "n", "over", "l", "root", "of"))
-        zover = np.repeat(pdf["zover"].to_numpy(np.int64), [len(x) for x in pdf["sig"]])
-        least = np.minimum(l, zl)
-        higher = (of > zof) | ((of == zof) & (root > zroot))
-        ok = higher & (100 * np.minimum(n, zn) >= percent * np.maximum(n, zn)) & (over < least) & (zover < least)
-        sig, least, root, n = sig[ok], least[ok], root[ok], n[ok]
+        z, sizes = int(pdf["z"].iloc[0]), [len(x) // 8 for x in pdf["sig"]]
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.int64)
+        need = np.concatenate([unpack_counts(x, n) for x, n in zip(pdf["need"], sizes, strict=True)])
         found, first, times = np.unique(sig, return_index=True, return_counts=True)
-        enough = times >= least_shared(n[first], zn, least[first], percent)
-        found, times, root = found[enough], times[enough], root[first][enough]
+        enough = times >= need[first]
+        found, times, first = found[enough], times[enough], first[enough]
         if only_best and len(found):
+            root = np.frombuffer(b"".join(pdf["root"]), np.int64)[first]
             order = np.lexsort((found, -times))
             found = found[order][np.unique(root[order], return_index=True)[1]]
         return pd.DataFrame({"a": np.minimum(found, z), "b": np.maximum(found, z)})
 
-    pairs = stored(met.groupBy("zsig").applyInPandas(count, "a long, b long").distinct(), "pairs")
+    counted = met.mapInPandas(meet, "z long, sig binary, need binary, root binary").groupBy("z").applyInPandas(count, "a long, b long")
+    pairs = stored(counted.distinct(), "pairs")
     discard(lists, cut)
     return pairs
 

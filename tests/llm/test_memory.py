@@ -66,3 +66,22 @@ def test_training_keeps_no_object_for_each_gram_on_the_driver(spark):
     grams = sum(len(keys) for keys, _ in model.tables)
     assert grams > 50_000 and all((np.diff(keys) > 0).all() and (counts > 0).all() for keys, counts in model.tables)
     assert most < 100 * grams + (6 << 20)
+
+
+def test_partners_that_can_t_link_aren_t_sent_on():
+    rng = np.random.default_rng(6)
+    sets = 300
+    n, l = rng.choice([20, 24, 60, 400], sets), rng.choice([1, 2, 8], sets)
+    of = rng.integers(1, 5, sets)
+    members = (np.arange(sets), n, rng.integers(-20, 9, sets), l, np.arange(sets) // 3, of)
+    minors = tuple(x[::2] for x in members)
+    got, want = {}, {}
+    for z, sig, need, root in jaccard_join._met(minors, members, 75, True):
+        sig = np.frombuffer(sig, np.int64)
+        assert (np.frombuffer(root, np.int64) == sig // 3).all()
+        got |= dict(zip([(z, s) for s in sig.tolist()], chunks.unpack_counts(need, len(sig)).tolist(), strict=True))
+    for z, zn, zover, zl, zroot, zof in zip(*(x.tolist() for x in minors), strict=True):
+        for s, sn, over, sl, root, so in zip(*(x.tolist() for x in members), strict=True):
+            if (so, root) > (zof, zroot) and 100 * min(sn, zn) >= 75 * max(sn, zn) and max(over, zover) < min(sl, zl):
+                want[z, s] = int(jaccard_join.least_shared(sn, zn, min(sl, zl)))
+    assert got == want and 0 < len(got) < sets * sets // 16
