@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 
 from .chunks import CENSUS, Chunk, answered, answers, bucket_count, by_bucket, census_rows, dealt, frame, looked_up, per_chunk, repeated_keys, squeeze
 
-LENGTH, GRAM, LARGEST, BATCH, NULL_ID = 50, 28, 1_000_000, 1 << 19, 2**63 - 1
+LENGTH, GRAM, LARGEST, NULL_ID = 50, 28, 1_000_000, 2**63 - 1
+GATHERED = 1 << 18  # bytes of strings of different minimizers in one index: small tables are searched faster
+BATCH = 1 << 16  # bytes hashed together: arrays of 8 times that stay in a core's cache
 _B = 0x9E3779B97F4A7C15
 
 
@@ -158,8 +160,9 @@ class RunIndex:
         first = short[suffixes]
         second = short[np.minimum(suffixes + length - half, n - 1)]
         same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
-        self.class_start = np.flatnonzero(np.concatenate([[True], ~same]))
-        self.class_least = np.minimum.reduceat(np.repeat(docs, sizes)[suffixes], self.class_start)
+        class_start = np.flatnonzero(np.concatenate([[True], ~same]))
+        class_least = np.minimum.reduceat(np.repeat(docs, sizes)[suffixes], class_start)
+        self.least = np.repeat(class_least, np.diff(class_start, append=n))  # of each row's class
         bwt = flat[suffixes - 1]
         starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.starts, self.symbols, self.runs = starts, bwt[starts], np.diff(np.concatenate([starts, [n]]))
@@ -210,7 +213,7 @@ class RunIndex:
             at, size = np.where(step, at - 1, at), np.where(step, size + 1, 0)
             if len(lost):
                 row[lost], at[lost], size[lost] = 0, self.first[0], 0
-            yield j, size, self.class_least[np.searchsorted(self.class_start, row, side="right") - 1]
+            yield j, size, self.least[row]
 
     def _agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Symbols in which the text agrees from a and from b on, up to most."""
@@ -297,7 +300,7 @@ def _settle(length: int):
         for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
             if hi - lo > 1:
                 more = int(size[head[by_anchor[lo:hi]]].sum())
-                if batch and held + more > LARGEST:
+                if batch and held + more > GATHERED:
                     index()
                     batch, held = [], 0
                 batch.append(by_anchor[lo:hi])

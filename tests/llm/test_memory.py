@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from loomstat.llm import chunks, jaccard_join, toxicity
+from loomstat.llm import chunks, jaccard_join, substring_dedup, toxicity
 
 
 def peak(run):
@@ -85,3 +85,14 @@ def test_partners_that_can_t_link_aren_t_sent_on():
             if (so, root) > (zof, zroot) and 100 * min(sn, zn) >= 75 * max(sn, zn) and max(over, zover) < min(sl, zl):
                 want[z, s] = int(jaccard_join.least_shared(sn, zn, min(sl, zl)))
     assert got == want and 0 < len(got) < sets * sets // 16
+
+
+def test_hashes_of_segments_are_made_in_stretches_that_stay_in_cache():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(0, 9000, 400)
+    data = rng.integers(97, 100, sizes.sum()).astype(np.uint8)
+    s, most = peak(lambda: substring_dedup.Segments(data, sizes, 50, 28))
+    kept = sum(x.nbytes for x in (s.start, s.windows, s.text, s.anchor, s.content))
+    assert most < 2.5 * kept + (8 << 20)
+    whole = [substring_dedup.Segments(data[e - n : e], np.array([n]), 50, 28) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    assert (np.concatenate([w.content for w in whole]) == s.content).all() and (np.concatenate([w.windows for w in whole]) == s.windows).all()
