@@ -8,10 +8,11 @@ smaller l of the two asks for, given both sizes.
 Steps: (1) A census of all shingles over chunks of documents gives frequencies; the census also counts each set's signature, so that copies
 of one set don't count as other sets. A set with fewer than ceil(t n) shingles that some other set has can't link and goes no further.
 (2) Of copies one stands for all. (3) Postings of the prefixes' shared tokens. A cheap round verifies each set against the hub it shares
-most prefix tokens with, and connected components of the links found are built; this settles groups of near
-copies in time linear in their size. (4) The join proper pairs, in each posting list that still holds sets of different components, the sets outside
-its largest component with the sets of larger ones; shared prefix tokens are counted, pairs with enough are verified: first each set's best partner
-in each other component, then all pairs that are left between components. Pairs within one component are never formed: they can't change a component.
+most prefix tokens with, and connected components of the links found are built; this settles most of a group of near
+copies in time linear in its size. (4) The join proper looks, in each posting list that still holds sets of different components, for the partners in larger
+components of the sets outside its largest one; shared prefix tokens are counted, and a set's partners with enough are kept as one array for each
+component, likeliest first. The arrays are verified from their front, a few partners first and then more at a time, each time only those between sets
+that are still in different components: where one of the first partners links, the others are never formed as pairs, as they can't change a component.
 Verification compares whole sets of 64-bit shingle hashes, exactly 100 * intersection >= 75 * union.
 
 Defined results: null and empty texts have the empty set and link with nothing; with fewer than `width` words the whole sequence is the
@@ -158,7 +159,10 @@ def _postings(sets: DataFrame, percent: int, longest: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets are similar enough."""
+    """The pairs a, b whose sets are similar enough. Where pairs are few, only the sets that they name are shuffled."""
+    sets = sets.select("sig", "tokens")
+    if pairs.count() <= FEW:
+        sets = sets.join(F.broadcast(pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))), "sig", "left_semi")
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
 
@@ -191,12 +195,22 @@ def least_shared(n: np.ndarray, m: int, l: np.ndarray, percent: int = PERCENT) -
 LIST = 2048  # sets in a block of a posting list
 MEMBER = ("sig", "n", "over", "l", "root", "of")
 PAIRS, HELD = 1 << 18, 1 << 22  # pairs of two blocks looked at together, bytes of partners sent on together
+FIRST, MORE = 4, 16  # partners of a set in a component that are verified first; how many times as many each round after
+FEW = 1 << 15  # pairs up to which the sets they name are picked by a broadcast
+
+
+def _graded(percent: int):
+    """Size class, a factor of 100 / percent wide and a hair more, so that rounding never parts sizes that may link by two classes."""
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent * (1 + 1e-9)))).cast("int")
 
 
 def _hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """For each set the hub that it shares most prefix tokens with. The hub of a posting list is its set of least hash."""
-    hubs = posts.groupBy("token").agg(F.min_by(F.struct("sig", "n"), F.xxhash64("sig")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"))
-    met = posts.join(hubs, "token").where((F.col("sig") != F.col("hub")) & _sized(percent, "n", "m")).groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("c"))
+    """For each set the hub that it shares most prefix tokens with. The hub of a posting list's size class is the set with the fewest rarer tokens
+    before it: of near copies one that was changed least, which links with more of them than any other."""
+    posts = posts.withColumn("grade", _graded(percent))
+    least = F.struct("over", F.xxhash64("sig"))
+    hubs = posts.groupBy("token", "grade").agg(F.min_by(F.struct("sig", "n"), least).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "grade", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"))
+    met = posts.join(hubs, ["token", "grade"]).where((F.col("sig") != F.col("hub")) & _sized(percent, "n", "m")).groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("sig").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     return best.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
 
@@ -217,9 +231,9 @@ def _met(minors: tuple, members: tuple, percent: int, roots: bool) -> Iterator[t
             yield int(zsig[i, 0]), sig[0, own].tobytes(), pack_counts(need), root[0, own].tobytes() if roots else b""
 
 
-def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best: bool) -> DataFrame:
-    """Pairs of sets of different components that share as many prefix tokens as they must; only_best: for each set outside the largest
-    component of a posting list and each component it meets, the partner with most.
+def _candidates(posts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """z, root, partners: for each set outside the largest component of a posting list and each higher component it meets, the sets that share as many
+    prefix tokens with it as they must, packed, those with most beyond that first. A pair of sets is in one row at most.
 
     A posting list that holds one component is left out. The others are parted by size class, a factor of 100 / percent wide, as
     sets more than a class apart can't link, and each part is cut by a hash into blocks of about LIST sets, one row each. Each set outside the largest
@@ -228,12 +242,10 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
     # components are ordered by size; of a pair, the set of the lower component is outside the largest one in every list that holds both
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("of"))
     graded = roots.join(sizes, "root")
-    # a hair more than the factor, so that rounding never parts sizes that may link by two classes
-    grade = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent * (1 + 1e-9)))).cast("int")
     joined = posts.join(graded, "sig", "left").withColumn("root", F.coalesce("root", "sig")).withColumn("of", F.coalesce("of", F.lit(1)))
     parts = joined.groupBy("token", "root").agg(F.max("of").alias("of"))
     major = parts.groupBy("token").agg(F.max_by("root", F.struct("of", "root")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "major")
-    lists = stored(joined.join(major, "token").withColumn("grade", grade), "lists")
+    lists = stored(joined.join(major, "token").withColumn("grade", _graded(percent)), "lists")
     # a table of its own, so that a hot token's rows needn't meet in one task for the join with it
     of_list = F.when(F.col("root") != F.col("major"), F.lit(1))
     cut = stored(lists.groupBy("token", "grade").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"), F.ceil(F.count(of_list) / LIST).cast("int").alias("zblocks")), "cuts")
@@ -256,7 +268,7 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
         for b in batches:
             rows, held = [], 0
             for row in b.itertuples(index=False, name=None):
-                for found in _met(row[: len(MEMBER)], row[len(MEMBER) :], percent, only_best):
+                for found in _met(row[: len(MEMBER)], row[len(MEMBER) :], percent, True):
                     rows.append(found)
                     held += len(found[1])
                     if held > HELD:
@@ -270,17 +282,41 @@ def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best:
         need = np.concatenate([unpack_counts(x, n) for x, n in zip(pdf["need"], sizes, strict=True)])
         found, first, times = np.unique(sig, return_index=True, return_counts=True)
         enough = times >= need[first]
-        found, times, first = found[enough], times[enough], first[enough]
-        if only_best and len(found):
-            root = np.frombuffer(b"".join(pdf["root"]), np.int64)[first]
-            order = np.lexsort((found, -times))
-            found = found[order][np.unique(root[order], return_index=True)[1]]
-        return pd.DataFrame({"a": np.minimum(found, z), "b": np.maximum(found, z)})
-
-    counted = met.mapInPandas(meet, "z long, sig binary, need binary, root binary").groupBy("z").applyInPandas(count, "a long, b long")
-    pairs = stored(counted.distinct(), "pairs")
+        found, beyond, root = found[enough], (times - need[first])[enough], np.frombuffer(b"".join(pdf["root"]), np.int64)[first[enough]]
+        order = np.lexsort((found, -beyond, root))
+        found, root = found[order], root[order]
+        starts = np.flatnonzero(np.diff(root, prepend=root[:1] - 1))
+        return pd.DataFrame({"z": z, "root": root[starts], "partners": [x.tobytes() for x in np.split(found, starts[1:])][: len(starts)]})
+
+    counted = met.mapInPandas(meet, "z long, sig binary, need binary, root binary").groupBy("z").applyInPandas(count, "z long, root long, partners binary")
+    out = stored(counted, "candidates")
     discard(lists, cut)
-    return pairs
+    return out
+
+
+def _pairs_of(candidates: DataFrame, start: int, end: int | None) -> DataFrame:
+    """The pairs a, b of each row's set and its partners from start to end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for z, partners in zip(rows["z"], rows["partners"], strict=True):
+                own = np.frombuffer(partners, np.int64)[start:end]
+                yield pd.DataFrame({"a": np.minimum(own, z), "b": np.maximum(own, z)})
+
+    return candidates.mapInPandas(run, "a long, b long")
+
+
+def _crossing_pairs(posts: DataFrame, roots: DataFrame, percent: int, only_best: bool) -> DataFrame:
+    """Pairs of sets of different components that share as many prefix tokens as they must; only_best: of a set and a component, the likeliest."""
+    return _pairs_of(_candidates(posts, roots, percent), 0, 1 if only_best else None)
+
+
+def _still_apart(candidates: DataFrame, roots: DataFrame, start: int) -> DataFrame:
+    """The rows with partners from start on whose set hasn't joined their component meanwhile."""
+    own = roots.select(F.col("sig").alias("z"), F.col("root").alias("own"))
+    theirs = roots.select(F.col("sig").alias("root"), F.col("root").alias("now"))
+    more = candidates.where(F.octet_length("partners") > 8 * start).join(own, "z", "left").join(theirs, "root", "left")
+    return more.where(F.coalesce("own", "z") != F.coalesce("now", "root")).select("z", "root", "partners")
 
 
 def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,15 +333,23 @@ def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 def similarity_classes(sets: DataFrame, percent: int = PERCENT, longest: int = LONGEST) -> DataFrame:
     """sig, root: the component of each set that links with another. sets: sig (distinct), n, tokens, df."""
     posts = stored(_postings(sets, percent, longest), "postings")
-    links = stored(_verified(_hub_pairs(posts, percent), sets, percent), "links")
+    pairs = stored(_hub_pairs(posts, percent), "pairs")
+    links = stored(_verified(pairs, sets, percent), "links")
     named = stored(components(links).toDF("sig", "root"), "roots")
-    discard(links)
-    for only_best in (True, False):
-        pairs = _crossing_pairs(posts, named, percent, only_best)
-        links = stored(_verified(pairs, sets, percent), "links")
-        before, named = named, stored(_joined_roots(named, links), "roots")
-        discard(pairs, links, before)
+    discard(pairs, links)
+    left, start, end = _candidates(posts, named, percent), 0, FIRST
     discard(posts)
+    while not left.isEmpty():
+        pairs = stored(_pairs_of(left, start, end), "pairs")
+        links = stored(_verified(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            before, named = named, stored(_joined_roots(named, links), "roots")
+            discard(before)
+        discard(pairs, links)
+        start, end = end, end * MORE
+        before, left = left, stored(_still_apart(left, named, start), "candidates")
+        discard(before)
+    discard(left)
     return named
 
 

@@ -207,6 +207,37 @@ def test_crossing_pairs_over_many_blocks(spark, monkeypatch):
         assert set(map(tuple, jaccard_join._crossing_pairs(posts, named, 75, False).collect())) == expected
 
 
+def test_near_copies_of_a_group_aren_t_all_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(times):
+        words = list(base)
+        for k in range(times):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        return words
+
+    # most link with the least changed ones, some with a few others only, some with none
+    texts = [changed(rng.choice([1, 2, 3, 3, 4, 4, 5, 6, 7, 12])) for _ in range(240)]
+    sets = [frozenset(zip(*[w[k:] for k in range(5)], strict=False)) for w in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in links:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    assert len(links) > 30 * len(sets) and len(set(root)) > 1
+    compared, verified = [], jaccard_join._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == dict(enumerate(root))
+    assert sum(compared) < 8 * len(sets)
+
+
 def test_url_filter(spark):
     rng = random.Random(3)
     hosts = ["example.net", "a.example.net", "notexample.net", "x.org", "org", "m.spam-x.com", "example.com", "EXAMPLE.COM", "net", ".net", "net.org:80"]
