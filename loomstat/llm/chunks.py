@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import give_back, partitions, stored
 
 
 def frame(rows: list[tuple], columns: list[str] | tuple[str, ...], whole: tuple[str, ...] = ("doc_id",)) -> pd.DataFrame:
@@ -44,6 +44,7 @@ def _cut(docs: DataFrame, columns: tuple[str, ...], mb: int) -> DataFrame:
     most = max(1 << 18, min(mb << 20, total // partitions(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def blob() -> pa.RecordBatch:
@@ -123,6 +124,7 @@ def per_chunk(chunks: DataFrame, run, schema: str) -> DataFrame:
     """run(number, chunk) -> frame of the schema, for each chunk."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return next(run(number, chunk) for number, chunk in chunks_of(pdf))
 
     return chunks.select("chunk", "blob").groupBy("chunk").applyInPandas(each, schema)
@@ -132,6 +134,7 @@ def answered(chunks: DataFrame, replies: DataFrame, run, schema: str) -> DataFra
     """run(number, chunk, its rows of replies) -> frame of the schema, for each chunk."""
 
     def each(pdf: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         found = [run(number, chunk, reply) for number, chunk in chunks_of(pdf)]
         # replies come for chunks alone, so there is one
         return found[0] if found else reply.iloc[:0]
@@ -211,6 +214,7 @@ def wide_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) ->
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, those of its keys that all chunks together hold at least twice, with their numbers. A chunk's keys are distinct, so its
     numbers add up by place; they are unpacked a chunk at a time, as all of them at once would take several times the bucket's size."""
+    give_back()
     wide = pdf["bucket"].iloc[0] < 0
     size = 8 if wide else 5
 

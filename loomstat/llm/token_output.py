@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import frame
-from .common import fresh_path, partitions, stored
+from .common import fresh_path, give_back, partitions, stored
 
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
@@ -59,7 +59,9 @@ class Memo(dict):
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.half:
-            self.older = dict(self)
+            # the keys of two halves are never held beside those of a third
+            self.older.clear()
+            self.older.update(self)
             self.clear()
         found = self.older.get(key)
         if found is None:
@@ -184,6 +186,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        give_back()
         shard = TaskContext.get().partitionId()
         encode, packer = encoder(vocabulary), zstandard.ZstdCompressor(level=level)
         fs, root = _connect(folder)

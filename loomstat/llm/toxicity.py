@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 
 ORDER, OWN_ORDER, DISCOUNT, PASSAGE, PER_CLASS, THRESHOLD = 5, 3, 0.75, 32, 6000, 0.7
 #: Symbols are bytes: 0 stands outside the text, 1 for characters that aren't among the most frequent ones.
@@ -272,6 +272,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
         model = shared.value
         own = KneserNey(model.symbols, model.tables) if model.curve else None
         for b in batches:

@@ -1,11 +1,13 @@
 """What a task of the census, or the driver, holds at once."""
 
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 
-from loomstat.llm import chunks, jaccard_join, substring_dedup, toxicity
+from loomstat.llm import chunks, common, jaccard_join, substring_dedup, toxicity
 
 
 def peak(run):
@@ -96,3 +98,40 @@ def test_hashes_of_segments_are_made_in_stretches_that_stay_in_cache():
     assert most < 2.5 * kept + (8 << 20)
     whole = [substring_dedup.Segments(data[e - n : e], np.array([n]), 50, 28) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
     assert (np.concatenate([w.content for w in whole]) == s.content).all() and (np.concatenate([w.windows for w in whole]) == s.windows).all()
+
+
+def test_rows_go_to_python_in_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"bytes": [int(b["text"].str.len().sum())]})
+
+    docs = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 2000) AS text")
+    before = spark.conf.get(common.BATCH)
+    got = [r["bytes"] for r in common.stored(docs.mapInPandas(sizes, "bytes long"), "sizes").collect()]
+    assert sum(got) == 12_000_000 and max(got) < 3 << 20
+    assert spark.conf.get(common.BATCH) == before
+
+
+HELD = """
+import sys
+from pathlib import Path
+import numpy as np
+from loomstat.llm.common import give_back
+
+def held():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+if sys.argv[1] == "1":
+    give_back()
+np.ones(30 << 20, np.uint8)  # freed at once: glibc now keeps arrays up to this size
+before = held()
+arrays = [np.ones(20 << 20, np.uint8) for _ in range(5)]
+small = bytes(2000), [bytes(700 + i) for i in range(50)]
+del arrays
+print(held() - before)
+"""
+
+
+def test_a_worker_that_waits_gives_freed_arrays_back():
+    kept = [int(subprocess.run([sys.executable, "-c", HELD, x], capture_output=True, text=True, check=True).stdout) for x in "01"]
+    assert kept[1] < 4 << 20 and kept[0] > kept[1] + (16 << 20)
