@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import frame
-from .common import fresh_path, give_back, partitions, stored
+from .common import KEPT, fresh_path, give_back, partitions, stored
 
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
@@ -110,11 +110,11 @@ class Encoder:
         return self._stretch(first) + b"".join(map(self.spaced.__getitem__, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("token_output", {})
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder for each worker process, so that its memos outlive a task."""
+    """One encoder for each worker process, so that its memos outlive a task; another operator's task drops it."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        give_back()
+        give_back("token_output")
         shard = TaskContext.get().partitionId()
         encode, packer = encoder(vocabulary), zstandard.ZstdCompressor(level=level)
         fs, root = _connect(folder)

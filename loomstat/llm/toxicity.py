@@ -236,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     counted = used.where("part > 0").select("toxic", "text")
 
     def characters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for values, side in _stretches(batches, lambda p: p):
             yield _count(values, side, "value")
 
@@ -245,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     lookup[symbols] = np.arange(2, 2 + len(symbols), dtype=np.uint8)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for values, side in _stretches(batches, lambda p: _grams(lookup[p])):
             yield _count(values, side, "value")
 
@@ -254,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return model
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         own = KneserNey(symbols, tables)
         for b in batches:
             yield pd.DataFrame({"toxic": b["toxic"], "x": own.evidence(list(b["text"]))})

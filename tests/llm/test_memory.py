@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from loomstat.llm import chunks, common, jaccard_join, substring_dedup, toxicity
+from loomstat.llm import chunks, common, jaccard_join, substring_dedup, token_output, toxicity
 
 
 def peak(run):
@@ -135,3 +135,12 @@ print(held() - before)
 def test_a_worker_that_waits_gives_freed_arrays_back():
     kept = [int(subprocess.run([sys.executable, "-c", HELD, x], capture_output=True, text=True, check=True).stdout) for x in "01"]
     assert kept[1] < 4 << 20 and kept[0] > kept[1] + (16 << 20)
+
+
+def test_an_encoder_stays_for_its_own_tasks_only():
+    path = token_output.default_vocabulary()
+    first = token_output.encoder(path)
+    common.give_back("token_output")
+    assert token_output.encoder(path) is first
+    common.give_back()
+    assert token_output.encoder(path) is not first and token_output.encoder(path)("one two") == first("one two")
