@@ -25,6 +25,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,8 @@ from .common import KEPT, fresh_path, give_back, partitions, stored
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
 FRAME, DOC, FOOTER = "<QQQI", np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), "<IIQQI4sI"
 FRAME_SIZE, FOOTER_SIZE = struct.calcsize(FRAME), struct.calcsize(FOOTER)
-MEMO, ROWS = 1_400_000, 50_000
+#: A half of the memo just fits a dict's table of 1 << 18 places; workers keep it beside a JVM that may have grown to all of its heap.
+MEMO, ROWS = 349_000, 50_000
 
 
 def default_vocabulary() -> str:
@@ -79,6 +81,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenize, self.id = self.tokenizer.model.tokenize, attrgetter("id")
         # texts that hold a special token's name go to the library whole
         named = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(named)).search if named else lambda _: None
@@ -89,17 +92,20 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.space = self.alphabet[32]
         #: by stretch between cuts, its leading space left out; by word of the library's own cutting
         self.spaced = Memo(lambda s: self._stretch(" " + s), MEMO)
         self.bare = Memo(self._word, MEMO // 8)
 
     def _word(self, word: str) -> bytes:
         # cut words go straight to the library's model, without its pipeline around them
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet))]).tobytes()
+        return array("I", map(self.id, self.tokenize(word.encode("utf-8").decode("latin-1").translate(self.alphabet)))).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
         # a text's first stretch may begin with what the library cuts off: 'stone is 's and tone
         if stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()):
+            if stretch[0] == " " and stretch.isascii():
+                return array("I", map(self.id, self.tokenize(self.space + stretch[1:]))).tobytes()
             return self._word(stretch)
         return b"".join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.bare[w] for w in self.cut(stretch)])
 
@@ -114,7 +120,7 @@ _ENCODERS: dict[str, Encoder] = KEPT.setdefault("token_output", {})
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder for each worker process, so that its memos outlive a task; another operator's task drops it."""
+    """One encoder for each worker process, so that its memos outlive a task; reading, or another operator's task, drops it."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
@@ -227,6 +233,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     columns = ("doc_id", "start", "n_tokens", "ids_crc32")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for b in batches:
             for path, at in zip(b["path"], b["before"], strict=True):
                 rows = []

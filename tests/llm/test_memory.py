@@ -3,6 +3,7 @@
 import subprocess
 import sys
 import tracemalloc
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -144,3 +145,27 @@ def test_an_encoder_stays_for_its_own_tasks_only():
     assert token_output.encoder(path) is first
     common.give_back()
     assert token_output.encoder(path) is not first and token_output.encoder(path)("one two") == first("one two")
+
+
+def test_an_encoder_s_memos_stay_small_beside_the_jvm():
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in f"{i:06d}") for i in range(700_000)]
+    encode = token_output.Encoder(token_output.default_vocabulary())
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    # all words and their ids take 107 MB
+    ids, most = peak(lambda: [zlib.crc32(encode(t)) for t in texts])
+    assert most < 64 << 20
+    odd = [*texts[::90], "one Two\nthree four", " five  six ", "Größe naïve 'tis don't 7up x y ₂ ﬁn", ""]
+    whole = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in odd]
+    assert [encode(t) for t in odd] == whole
+    assert ids[::90] == [zlib.crc32(w) for w in whole[: len(ids[::90])]]
+
+
+def test_reading_shards_drops_the_encoder(spark, tmp_path, monkeypatch):
+    manifest = token_output.write_tokens(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"), folder=f"file://{tmp_path}/t", shards=2)
+    rows, tasks = manifest.selectExpr("path", "0L AS before").toPandas(), []
+    monkeypatch.setattr(type(manifest), "mapInPandas", lambda self, f, schema: tasks.append(f))
+    token_output.read_tokens(manifest)
+    token_output.encoder(token_output.default_vocabulary())
+    read = pd.concat(tasks[0](iter([rows])))
+    assert sorted(read["doc_id"]) == [1, 2] and not common.KEPT["token_output"]
