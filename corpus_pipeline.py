@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_output(docs)
+    return token_output.token_output(docs, memo=token_output.SMALL_MEMO)
 
 
 STAGES = [

@@ -4,10 +4,12 @@ import subprocess
 import sys
 import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 
+import corpus_pipeline
 from loomstat.llm import chunks, common, jaccard_join, substring_dedup, token_output, toxicity
 
 
@@ -150,7 +152,7 @@ def test_an_encoder_stays_for_its_own_tasks_only():
 def test_an_encoder_s_memos_stay_small_beside_the_jvm():
     letters = "abcdefghij"
     words = ["".join(letters[int(d)] for d in f"{i:06d}") for i in range(700_000)]
-    encode = token_output.Encoder(token_output.default_vocabulary())
+    encode = token_output.Encoder(token_output.default_vocabulary(), token_output.SMALL_MEMO)
     texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
     # all words and their ids take 107 MB
     ids, most = peak(lambda: [zlib.crc32(encode(t)) for t in texts])
@@ -161,6 +163,18 @@ def test_an_encoder_s_memos_stay_small_beside_the_jvm():
     assert ids[::90] == [zlib.crc32(w) for w in whole[: len(ids[::90])]]
 
 
+def test_the_pipeline_s_workers_keep_the_small_memos(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, f, schema: asked.append(f) or spark.range(0))
+    monkeypatch.setattr(token_output, "read_tokens", lambda manifest: manifest)
+    corpus_pipeline.write_tokens(spark, spark.createDataFrame([(1, "one two")], "doc_id long, text string"), str(tmp_path))
+    write = asked.pop()
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(token_output, "encoder", lambda *a: asked.append(a))
+    assert not list(write(iter([]))) and asked == [(token_output.default_vocabulary(), token_output.SMALL_MEMO)]
+    assert token_output.SMALL_MEMO < token_output.MEMO
+
+
 def test_reading_shards_drops_the_encoder(spark, tmp_path, monkeypatch):
     manifest = token_output.write_tokens(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"), folder=f"file://{tmp_path}/t", shards=2)
     rows, tasks = manifest.selectExpr("path", "0L AS before").toPandas(), []
