@@ -42,9 +42,9 @@ from .common import KEPT, fresh_path, give_back, partitions, stored
 SKIPPABLE, MAGIC, VERSION = 0x184D2A5E, b"LMTS", 1
 FRAME, DOC, FOOTER = "<QQQI", np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), "<IIQQI4sI"
 FRAME_SIZE, FOOTER_SIZE = struct.calcsize(FRAME), struct.calcsize(FOOTER)
-#: A half of the memo just fits a dict's table of 1 << 19 or, small, 1 << 18 places. The small one is for workers beside a JVM that earlier stages
-#: have grown: on 158 MB of text it took 50 MB of a worker less and missed 4.0 instead of 2.9 million times.
-MEMO, SMALL_MEMO, ROWS = 699_000, 349_000, 50_000
+#: A half of the memo just fits a dict's table of 1 << 20 or, small, 1 << 18 places. The small one is for workers beside a JVM that earlier stages
+#: have grown: on 158 MB of text it took 160 MB of a worker less and missed 4.0 instead of 2.2 million times.
+MEMO, SMALL_MEMO, ROWS = 1_398_000, 349_000, 50_000
 
 
 def default_vocabulary() -> str:
